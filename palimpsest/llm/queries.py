@@ -13,17 +13,29 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op7_bpe, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_token_output, op5_ngram_join, op7_bpe, op8_decontamination, op9_token_counts)}
 ORACLES: dict[str, str] = {}
