@@ -15,7 +15,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.byte_units import slices
@@ -151,15 +151,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
     match nothing; ties go to the earliest window. An empty table on either side gives no rows. Other columns are
     ignored.
     """
-    spark = prepare(docs.sparkSession)
-    docs, items = texts(docs, key, text), texts(benchmark, item, item_text)
-    total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    n_blocks = 1 + total // block_bytes
+    docs = texts(docs, key, text)
     schema = f"{key} long, {item} long, first_word long, n_words long, distance long, similarity double"
     out = None
-    for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64(item, item_text), F.lit(n_blocks)) == b).collect() if n_blocks > 1 else items.collect()
-        held = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    for held in _blocks(docs.sparkSession, benchmark, block_bytes, item, item_text):
 
         def run(batches, held=held):
             index = Items(*held.value, threshold, radius, size)
@@ -175,3 +170,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
         part = docs.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, size: int = 5, block_bytes: int = 16 << 20, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item as find_leaks finds them. Narrow."""
+    for held in _blocks(docs.sparkSession, benchmark, block_bytes, item, item_text):
+
+        def run(batches, held=held):
+            index = Items(*held.value, threshold, radius, size)
+            for batch in batches:
+                clean = [next(index.search(x or ""), None) is None for _, part in slices(batch.column(batch.schema.names.index(text))) for x in part]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int, item: str, item_text: str):
+    """The benchmark, broadcast in as many blocks of about block_bytes as its measured size takes."""
+    prepare(spark)
+    items = texts(benchmark, item, item_text)
+    n = 1 + (items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0) // block_bytes
+    for b in range(n):
+        rows = items.where(F.pmod(F.xxhash64(item, item_text), F.lit(n)) == b).collect()
+        yield spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))

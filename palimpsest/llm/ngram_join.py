@@ -236,3 +236,12 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance
     ids = about.where("root is not null").groupBy("root").agg(F.min("copy_of").alias("class_id"))
     about = about.join(ids, "root", "left").select("digest", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", "n_copies", (F.col("n_copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0).cast("long")).alias("n_text_links"))
     return signed.select(key, "digest").join(about, "digest").select(key, "class_id", "copy_of", "n_copies", "n_links", "n_text_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their class: those with the class's least key.
+
+    Rows that share that key and text are one. Documents of a null key stay only where their class has no other key.
+    """
+    kept = ngram_join(docs, threshold, size, key=key, text=text).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_kept")).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key, text])

@@ -136,25 +136,35 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, most_chars: i
     return fit_texts(rows)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """key, held_out, score, predicted of each row; with keep, the row's own columns and then _score.
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, held_out, score, predicted of each row.
 
     The score depends on the whole text alone. Narrow: nothing is shuffled. A null text is an empty one, and an empty
-    one has the score of its length; null keys, ties and repeated rows stay as they are.
+    one has the score of its length; null keys, ties and repeated rows stay as they are; other columns are ignored.
     """
-    spark = prepare(docs.sparkSession)
-    held = spark.sparkContext.broadcast(model)  # two dictionaries of 110 KB and some weights
+    held = prepare(docs.sparkSession).sparkContext.broadcast(model)  # two dictionaries of 110 KB and some weights
 
     def run(batches):
         scorer = Scorer(held.value)
         for batch in batches:
-            x = [scorer.features(t or "") for _, part in slices(batch.column(batch.schema.names.index(text))) for t in part]
-            values = scorer.scores(np.stack(x)) if x else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "_score"]) if keep else pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scored(scorer, batch.column(1)), pa.float64())], names=[key, "score"])
 
-    if keep:
-        from pyspark.sql.types import DoubleType, StructType
-
-        return docs.mapInArrow(run, StructType(docs.schema.fields).add("_score", DoubleType()))
     out = texts(docs, key, text).mapInArrow(run, f"{key} long, score double")
     return out.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least the threshold. Narrow."""
+    held = prepare(docs.sparkSession).sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(scorer, batch.column(batch.schema.names.index(text))) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scored(scorer: Scorer, column) -> np.ndarray:
+    x = [scorer.features(t or "") for _, part in slices(column) for t in part]
+    return scorer.scores(np.stack(x)) if x else np.empty(0)
