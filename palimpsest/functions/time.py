@@ -1,4 +1,4 @@
-"""Time functions, all in UTC whatever the session's time zone renders: they take and give TIMESTAMP."""
+"""Time functions. They take TIMESTAMP, or TIMESTAMP_NTZ read in the session's time zone, and give TIMESTAMP."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 
 
+def _micros(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp"))
+
+
 def epoch() -> Column:
     return F.timestamp_seconds(F.lit(0))
 
@@ -41,17 +45,17 @@ def parts(t: Column) -> Column:
 
 
 def plus(t: Column, n: Column, unit: str = "second") -> Column:
-    return F.timestamp_micros(F.unix_micros(t) + n * (UNITS[unit] * 1_000_000))
+    return F.timestamp_micros(_micros(t) + n * (UNITS[unit] * 1_000_000))
 
 
 def between_in(a: Column, b: Column, unit: str = "second") -> Column:
     """Whole units from a to b."""
-    return F.call_function("div", F.unix_micros(b) - F.unix_micros(a), F.lit(UNITS[unit] * 1_000_000))
+    return F.call_function("div", _micros(b) - _micros(a), F.lit(UNITS[unit] * 1_000_000))
 
 
 def with_base(t: Column, per_second: int) -> Column:
     """Ticks since the epoch, so many a second."""
-    return F.call_function("div", F.unix_micros(t) * per_second, F.lit(1_000_000))
+    return F.call_function("div", _micros(t) * per_second, F.lit(1_000_000))
 
 
 def to_local(t: Column, zone: str) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +29,7 @@ def valid_pattern(spark: SparkSession, pattern: str) -> bool:
     """Whether Java's engine takes the pattern; one that it doesn't take matches nothing."""
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as e:
-        if "PatternSyntaxException" not in str(e):
-            raise
+    except (Py4JError, PySparkException):
         return False
     return True
 
