@@ -158,12 +158,10 @@ def _content(top: Node) -> list[Node | str]:
     order, body = _measure(top)
     if not body.chars:
         return []
-    inside = []
-    for x in order:
-        y = x
-        while y is not None and y is not body:
-            y = y.parent
-        if y is body:
+    below, inside = {id(body)}, []
+    for x in order:  # parents come before children
+        if id(x) in below or x.parent is not None and id(x.parent) in below:
+            below.add(id(x))
             inside.append(x)
     best = max(inside, key=lambda x: (x.sum if x.tag in BLOCKS else 0.0, x.density if x is not body else 0.0))
     if not best.sum:
@@ -181,18 +179,19 @@ def _content(top: Node) -> list[Node | str]:
     least = min(x.density for x in path)
     on_path = {id(x) for x in path[1:]}
 
-    def collect(node: Node):
-        for c in node.items:
-            if isinstance(c, str):
-                yield c
-            elif c.drop:
-                continue
-            elif id(c) in on_path:
-                yield from collect(c)
-            elif c is best or c.tag in BLOCKS and (c.density >= least or node is not body and c.chars > 3 * c.link_chars):
-                yield c
-
-    return list(collect(body)) if best is not body else [body]
+    out: list[Node | str] = []
+    stack = [(body, c) for c in reversed(body.items)]
+    while stack:
+        node, c = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.drop:
+            continue
+        elif id(c) in on_path:
+            stack += [(c, x) for x in reversed(c.items)]
+        elif c is best or c.tag in BLOCKS and (c.density >= least or node is not body and c.chars > 3 * c.link_chars):
+            out.append(c)
+    return out if best is not body else [body]
 
 
 def _blocks(parts: list[Node | str]):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import table
+from palimpsest.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_token_output, op4_chat, op5_ngram_join, op6_license_scan, op7_bpe, op8_decontamination, op9_token_counts, op10_html_text)}
-ORACLES: dict[str, str] = {}
+
