@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import quopri
 import zlib
 
 import numpy as np
@@ -53,3 +54,18 @@ def entropy(data: pd.Series) -> pd.Series:
 def derive_key(password: str, salt: bytes, length: int = 32, rounds: int = 600_000) -> bytes:
     """Key from a password, on the driver alone: keys never stand in a plan's text."""
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds, length)
+
+
+@F.pandas_udf(StringType())
+def quoted_printable(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: quopri.encodestring(s.encode()).decode(), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def from_quoted_printable(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: quopri.decodestring(s.encode()).decode("utf-8", "replace"), na_action="ignore")
+
+
+def hex_dump(b: Column, width: int = 16) -> Column:
+    """Lines of `width` bytes in hexadecimal."""
+    return F.rtrim(F.regexp_replace(F.regexp_replace(F.hex(b), "(..)", "$1 "), f"((?:.. ){{{width}}})", "$1\n"))
