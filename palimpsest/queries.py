@@ -360,7 +360,7 @@ def store_round_trip(spark, sf_dir):
     """Two backups into a store; what is restored is what was saved."""
     from palimpsest.plans.restore import restore
 
-    store = _store(spark, sf_dir)
+    store = _kept_store(spark, sf_dir)
     out = None
     for r in (1, 2):
         rows = restore(store, r).where("meta.type = 'file'").select("path", F.octet_length("content").cast("bigint").alias("size"), F.sha1("content").alias("sha1"), F.lit(r).alias("revision"))
@@ -403,3 +403,66 @@ def codecs(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("plain")).withColumn("blob", F.col("plain"))
     rows = decrypted(encrypted(rows, b"0123456789abcdef0123456789abcdef"), b"0123456789abcdef0123456789abcdef")
     return rows.select("doc_id", same("zlib")("plain").alias("zlib"), same("zstd")("plain").alias("zstd"), (F.col("blob") == F.col("plain")).alias("sealed"))
+
+
+_stores: dict = {}
+
+
+def _kept_store(spark, sf_dir):
+    """One store for all queries that only read it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stores:
+        _stores[key] = _store(spark, sf_dir)
+    return _stores[key]
+
+
+@query(f"""WITH {FILES_SQL} SELECT CAST(r AS INTEGER) AS revision, CAST('2024-01-01' AS TIMESTAMP) + to_days(r - 1) AS created_at, count(*) FILTER (is_new) AS file_count, count(DISTINCT source) AS dir_count,
+CAST(sum(CASE WHEN is_new THEN size ELSE 0 END) AS BIGINT) AS ingested_bytes, CAST(sum(size) AS BIGINT) AS total_bytes FROM (SELECT *, 1 AS r, true AS is_new FROM files WHERE doc_id % 5 <> 1 UNION ALL SELECT *, 2, doc_id % 5 = 1 FROM files WHERE doc_id % 5 <> 2) GROUP BY r""")
+def store_revisions(spark, sf_dir):
+    """Revisions with their totals, newest first."""
+    rows = listing.list_revisions(_kept_store(spark, sf_dir), end="2024-02-01 00:00:00")
+    return rows.select("revision", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "file_count", "dir_count", "ingested_bytes", "total_bytes")
+
+
+@query(f"""WITH {FILES_SQL}, t AS (SELECT path, '-rw-r--r--' AS mode, size FROM files WHERE doc_id % 5 <> 2 UNION ALL SELECT DISTINCT '/' || source, 'd?????????', 0 FROM files WHERE doc_id % 5 <> 2)
+SELECT path, row_number() OVER (ORDER BY path) AS item_id, left(mode, 1) AS kind, CAST(size AS BIGINT) AS size FROM t""")
+def store_files(spark, sf_dir):
+    """Items of a revision in order of path, with dense ids."""
+    store = _kept_store(spark, sf_dir)
+    sizes = store.tree(2).select("item_id", F.col("meta.size").alias("size"))
+    return listing.list_files(store, 2).select("path", "item_id", F.left("line", F.lit(1)).alias("kind")).join(sizes, "item_id").select("path", "item_id", "kind", "size")
+
+
+@query(f"WITH {FILES_SQL} SELECT CAST(doc_id AS VARCHAR) AS name, path, size FROM files WHERE source = 'src3' AND doc_id % 5 <> 1")
+def store_folder(spark, sf_dir):
+    """Children of one folder."""
+    return listing.list_dir(_kept_store(spark, sf_dir), 1, "/src3").select("name", "path", F.col("meta.size").alias("size"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path, sha1(text) AS whole FROM files WHERE doc_id = 0")
+def store_cat(spark, sf_dir):
+    """One file by its path."""
+    from palimpsest.plans.restore import cat
+
+    return cat(_kept_store(spark, sf_dir), "/src0/0", 2).select("path", F.sha1("content").alias("whole"))
+
+
+@query("SELECT lower(substr(hex(encode(text)), 2 * 1800 + 1, 2 * 900)) AS part FROM documents WHERE doc_id = 0")
+def store_range(spark, sf_dir):
+    """A byte range across chunks, reading only the chunks that it covers."""
+    from palimpsest.plans.restore import read_range
+
+    return read_range(_kept_store(spark, sf_dir), "/src0/0", 1, 1800, 900).select(F.lower(F.hex("content")).alias("part"))
+
+
+@query(f"""WITH {FILES_SQL}, f AS (SELECT * FROM files WHERE doc_id % 5 <> 1) SELECT CAST(sum(size) AS BIGINT) AS bytes, count(DISTINCT CASE WHEN size > 0 THEN path END) AS files, true AS no_larger, true AS all_found FROM f""")
+def store_relations(spark, sf_dir):
+    """Lists, chunks and containers of a revision agree with one another and with the files."""
+    from palimpsest.operators.packing import open_containers
+
+    d = listing.dump(_kept_store(spark, sf_dir), 1)
+    refs = d["file_tree"].select("path", "list_id").join(d["chunk_lists"], "list_id").join(d["chunks"].select("chunk_id", "size", "container_id", "sha1"), "chunk_id")
+    opened = open_containers(d["containers"]).select("container_id", "sha1", F.sha1("data").alias("again"))
+    found = refs.join(opened, ["container_id", "sha1"], "left")
+    totals = found.agg(F.sum("size").cast("bigint").alias("bytes"), F.countDistinct("path").alias("files"), F.bool_and(F.lower(F.hex("sha1")) == F.col("again")).alias("all_found"))
+    return totals.join(d["containers"].agg(F.bool_and(F.col("raw_size") <= packing.MOST).alias("no_larger")))  # two rows of totals
