@@ -113,17 +113,16 @@ def _measure(top: Node) -> tuple[list[Node], Node]:
     everything = [top]
     for x in everything:
         everything += [c for c in x.items if isinstance(c, Node)]
-    for x in everything:
+    for x in everything:  # breadth first: the outermost article or main comes first
         if x.tag == "body":
             body = x
-        if x.tag in ("article", "main"):
-            y = x.parent
-            while y is not None and id(y) not in holding:
-                holding.add(id(y))
-                y = y.parent
+    lead = next((x for x in everything if x.tag == "main"), None) or next((x for x in everything if x.tag == "article"), None)
+    while lead is not None:
+        holding.add(id(lead))
+        lead = lead.parent
     while stack:
         x, inside = stack.pop()
-        # what holds the article isn't furniture, whatever it is called
+        # what holds the first article isn't furniture, whatever it is called
         x.drop = x.parent is not None and _is_furniture(x, inside) and id(x) not in holding
         if x.drop:
             continue
