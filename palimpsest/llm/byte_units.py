@@ -1,4 +1,4 @@
-"""Byte-level BPE over whole texts: cut at places no token crosses, encode each distinct piece once.
+"""Byte-level BPE over whole texts: cut at places no token crosses, encode each distinct part once.
 
 A space directly before a visible character always starts a token of the byte-level pattern, whatever stands
 before it, so the pieces between such spaces are encoded independently of one another.
@@ -62,34 +62,47 @@ def by_bytes(pieces: list[str], most: int) -> list[list[str]]:
     return out
 
 
+#: Texts of these characters alone are cut into the pattern's tokens here, as each of them is a plain letter, digit, mark
+#: or white space; pieces with others go to the library whole. (Letters come first: no contraction begins with one.)
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+WORDS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+
+
 class Pieces:
-    """What `measure` makes of each piece's ids, remembered by piece, up to a bound on the remembered characters."""
+    """The measure of each word's ids, remembered by word, up to a bound on the remembered characters."""
 
-    def __init__(self, vocabulary: str, measure, batch_bytes: int = 1 << 18, most_chars: int = 6_000_000):
+    def __init__(self, vocabulary: str, measure, batch_bytes: int = 1 << 18, most_chars: int = 24_000_000):
         self.tok, self.measure, self.batch_bytes, self.most_chars = load(vocabulary), measure, batch_bytes, most_chars
-        self.heads: dict[str, object] = {}
-        self.bodies: dict[str, object] = {}
+        self.own_words = '"use_regex":true' in self.tok.pre_tokenizer.__getstate__().decode().replace(" ", "") and self.tok.normalizer is None
+        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.known: dict[str, object] = {}
         self.chars = 0
 
-    def _learn(self, known: dict, wanted: set, lead: str) -> None:
-        new = [p for p in wanted if p not in known]
-        for batch in by_bytes(new, self.batch_bytes):
-            for p, enc in zip(batch, self.tok.encode_batch_fast([lead + p for p in batch], add_special_tokens=False)):
-                known[p] = self.measure(enc.ids)
-        self.chars += sum(map(len, new)) + 8 * len(new)
+    def _is_plain(self, text: str) -> bool:
+        return self.own_words and PLAIN.fullmatch(text) is not None and not any(x in text for x in self.special)
+
+    def words(self, text: str) -> list[str]:
+        """Parts that are encoded independently; joined they are the text."""
+        if self._is_plain(text):
+            return WORDS.findall(text)
+        out: list[str] = []
+        for i, piece in enumerate(cut(text)):
+            piece = " " * (i > 0) + piece
+            out += WORDS.findall(piece) if self._is_plain(piece) else [piece]
+        return out
 
     def __call__(self, texts: list[str]):
-        """For each text the measures of its pieces, in order."""
+        """For each text the measures of its words, in order."""
         if self.chars > self.most_chars:
-            self.heads, self.bodies, self.chars = {}, {}, 0
-        pieces = [cut(x) for x in texts]
-        self._learn(self.heads, {p[0] for p in pieces}, "")
-        wanted: set = set()
-        for p in pieces:
-            wanted.update(p[1:])
-        self._learn(self.bodies, wanted, " ")
-        for p in pieces:
-            yield self.heads[p[0]], map(self.bodies.__getitem__, p[1:])
+            self.known, self.chars = {}, 0
+        known, measure, parts = self.known, self.measure, [self.words(x) for x in texts]
+        new = list(set().union(*parts).difference(known)) if parts else []
+        for batch in by_bytes(new, self.batch_bytes):
+            for p, enc in zip(batch, self.tok.encode_batch_fast(batch, add_special_tokens=False)):
+                known[p] = measure(enc.ids)
+        self.chars += sum(map(len, new)) + 8 * len(new)
+        for own in parts:
+            yield map(known.__getitem__, own)
 
 
 def as_bytes(ids: list[int]) -> bytes:

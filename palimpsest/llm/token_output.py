@@ -79,6 +79,13 @@ def unpack_range(block_starts: bytes, payload: bytes, first: int, count: int) ->
 _encoders: dict[str, Pieces] = {}
 
 
+def _encoder(vocabulary: str) -> Pieces:
+    """One for each worker process: a module's function is found by name there, while a closure would bring a copy."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Pieces(vocabulary, as_bytes)
+    return _encoders[vocabulary]
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, segment_ids: int = 1 << 16, key: str = "doc_id", text: str = "text") -> str:
     """Encodes the texts in ascending key order, end_id after each, into Parquet segments under path.
 
@@ -89,9 +96,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     prepare(docs.sparkSession)
 
     def run(batches):
-        if vocabulary not in _encoders:
-            _encoders[vocabulary] = Pieces(vocabulary, as_bytes)
-        encode, file = _encoders[vocabulary], TaskContext.get().partitionId()
+        encode, file = _encoder(vocabulary), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         keys, lens, parts, held, first, segment = [], [], [], 0, 0, 0
 
@@ -106,8 +111,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
         for batch in batches:
             names = batch.column(0).to_pylist()
             for i, part in slices(batch.column(1)):
-                for name, (head, rest) in zip(names[i : i + len(part)], encode(part)):
-                    data = b"".join((head, *rest, end))
+                for name, values in zip(names[i : i + len(part)], encode(part)):
+                    data = b"".join(values) + end
                     n = len(data) // 4
                     if held and held + n > segment_ids:
                         yield close()
