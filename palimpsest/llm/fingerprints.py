@@ -73,12 +73,12 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     row follows itself; an empty table gives an empty result. Other columns are ignored.
     """
     rows = _keyed(docs, key, text)
-    base = written(rows.select(*K, F.char_length("text").cast("long").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("fingerprint")), "base")
+    base = written(rows.select(*K, key, F.char_length("text").cast("long").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("fingerprint")), "base")
     shared = base.groupBy("fingerprint").agg((F.count("*") > 1).alias("shared")).where("shared")
-    own = base.groupBy(*K).agg(F.first("fingerprint").alias("fingerprint")).join(shared, "fingerprint", "left")
+    own = base.groupBy(*K).agg(F.first(key).alias(key), F.first("fingerprint").alias("fingerprint")).join(shared, "fingerprint", "left")
     places = written(_ring(base.select(*K, "n_chars")).join(own, K), "places")
 
-    placed = rows.join(places, K)
+    placed = rows.drop(key).join(places, K)  # all uses below read the same columns of rows, and so share one shuffle of the texts
     heads = placed.select(*(F.col(f"p{i}").alias(f"k{i}") for i in range(3)), F.substring("text", F.lit(1), F.floor(F.col("p_chars") / 4).cast("int")).alias("head"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(K)
     n, q = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
     both = placed.join(heads, K).select(key, "text", "fingerprint", "next_fingerprint", F.concat(F.substring("text", F.lit(1), n - q), "head").alias("edited"))
