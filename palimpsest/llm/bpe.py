@@ -28,7 +28,7 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 class Bpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, vocabulary: str, most_entries: int = 400_000):
+    def __init__(self, vocabulary: str, most_entries: int = 250_000):
         with open(resolve(vocabulary), encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

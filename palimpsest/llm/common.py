@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package; a cluster ships it with --py-files."""
+    """Lets Python workers on this machine import the package; a cluster ships it with --py-files.
+
+    Arrow batches are bounded by bytes, at 8 MB: their rows are whole texts, and a worker may hold several batches.
+    """
+    if spark.conf.get(BATCH, None) is None:  # a setting of the user's own stays
+        spark.conf.set(BATCH, "8m")
     env = spark.sparkContext.environment
     if PACKAGE_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, env.get("PYTHONPATH", "")) if x)
@@ -61,7 +69,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """Token -> 64-bit hash of its normal form, remembered up to a bound. 0 stands for a token without a normal form."""
 
-    def __init__(self, normal, limit: int = 400_000):
+    def __init__(self, normal, limit: int = 200_000):
         super().__init__()
         self.normal, self.limit = normal, limit
 
