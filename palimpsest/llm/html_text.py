@@ -4,6 +4,10 @@ Of every node: characters for each tag, lowered where much of it is links. The n
 the most holds the article. The least density on the path from it up to the body is the threshold: what stands beside
 that path and reaches the threshold, or stands in its container and isn't mostly links, belongs to the text too,
 unless an article or main element bounds it.
+
+Names of page furniture in class or id, and forms, are evidence beside length and links: what is mostly links or short
+goes by its name, what holds most of the body's text outside links never does. A name that is nothing but furniture also
+keeps a node from being chosen first; in what was chosen and in its container its long text stays, comments excepted.
 """
 
 from __future__ import annotations
@@ -23,9 +27,15 @@ from palimpsest.llm.common import prepare
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select input menu dialog canvas audio video object map".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+DROPPED = RAW | frozenset("head nav footer aside button select input menu dialog canvas audio video object map".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination footer masthead comment comments respond replies disqus share sharing social related recommended widget toolbar skip hidden".split())
+COMMENTS = frozenset("comment comments respond replies disqus".split())
+FILLERS = frozenset("site page post posts article articles story stories link links list section area thread wrapper wrap container box block bar button buttons icon icons item items form slot unit inner outer top bottom left right".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Fewer characters than this are short. What a name says: nothing, a word of it, a form, all of it, other people's text.
+SHORT = 100
+PLAIN, HINT, FORM, NAMED, OTHERS = range(5)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol menu dl table select body html div article section main td th".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>?|[^<]+|<""", re.S)
@@ -34,12 +44,12 @@ NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "attributes", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "attributes", "drop", "name", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.items: list[Node | str] = []
-        self.drop = False
+        self.drop, self.name = False, PLAIN
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -95,20 +105,74 @@ def _attributes(node: Node) -> dict[str, str]:
 
 
 def _is_furniture(node: Node, inside: bool) -> bool:
-    """inside: an article or main element stands above."""
+    """By the element or its attributes, whatever it holds. inside: an article or main element stands above."""
     if node.tag in DROPPED or node.tag == "header" and not inside:
         return True
     if not node.attributes or node.tag in ("body", "article", "main") and not inside:
         return False
     a = _attributes(node)
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) or a.get("role", "").lower() in ROLES:
+    return "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", ""))) or a.get("role", "").lower() in ROLES
+
+
+def _named(node: Node, inside: bool) -> int:
+    """What class and id say. A slug like related-work only hints at furniture; related-posts is nothing else."""
+    kind = FORM if node.tag == "form" else PLAIN
+    if not node.attributes or node.tag in ("body", "article", "main") and not inside:
+        return kind
+    a = _attributes(node)
+    if a.get("role", "").lower() == "form":
+        kind = FORM
+    for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        parts = [x for x in NAME_PARTS.split(name) if x]
+        if not any(x in FURNITURE for x in parts) and not ("site" in parts and "header" in parts):
+            continue
+        if all(x in FURNITURE or x in FILLERS or x.isdigit() or x == "header" for x in parts):
+            kind = max(kind, OTHERS if any(x in COMMENTS for x in parts) else NAMED)
+        else:
+            kind = max(kind, HINT)
+    return kind
+
+
+def _goes(x: Node, inside: bool, most: float) -> bool:
+    """Whether a name is borne out by the length and the links of the text. inside: in the article or the chosen subtree."""
+    plain = x.chars - x.link_chars
+    if x.name == PLAIN or plain > most:
+        return False
+    if plain <= x.link_chars:
+        return True
+    if inside and x.tag in HEADINGS:
+        return False
+    if x.name == OTHERS or x.name == NAMED and not inside:
         return True
-    names = NAME_PARTS.split(f"{a.get('class', '')} {a.get('id', '')}".lower())
-    return any(x in FURNITURE for x in names) or "site" in names and "header" in names
+    return x.chars < SHORT and not (inside and x.name == HINT)
 
 
-def _measure(top: Node) -> tuple[list[Node], Node]:
-    """All kept nodes, children behind parents, with their counts; the body."""
+def _count(order: list[Node]) -> None:
+    """Characters and tags of nodes, children behind parents, without what is dropped."""
+    for x in reversed(order):
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
+        for c in x.items:
+            if isinstance(c, str):
+                n = len("".join(c.split()))
+                x.chars += n
+                x.link_chars += n if x.tag == "a" else 0
+            elif not c.drop:
+                x.chars += c.chars
+                x.tags += c.tags + 1
+                x.link_chars += c.chars if x.tag == "a" else c.link_chars
+                x.link_tags += c.link_tags + (c.tag == "a")
+
+
+def _density(x: Node, body: Node) -> float:
+    density, linked = x.chars / max(1, x.tags), x.link_chars
+    plain = max(1, x.chars - linked)
+    base = math.log(x.chars / plain * linked + body.link_chars / max(1, body.chars) * x.chars + math.e)
+    ratio = x.chars / max(1, linked) * max(1, x.tags) / max(1, x.link_tags)
+    return density * math.log(max(ratio, 1.0)) / base if linked or x.link_tags else density * max(1.0, math.log(max(ratio, 1.0)) / base)
+
+
+def _measure(top: Node) -> tuple[list[Node], Node, float]:
+    """All kept nodes, children behind parents, with their counts; the body; what is most of its text."""
     body, order, stack, holding = top, [], [(top, False)], set()
     everything = [top]
     for x in everything:
@@ -116,47 +180,60 @@ def _measure(top: Node) -> tuple[list[Node], Node]:
     for x in everything:  # breadth first: the outermost article or main comes first
         if x.tag == "body":
             body = x
-    lead = next((x for x in everything if x.tag == "main"), None) or next((x for x in everything if x.tag == "article"), None)
+    lead = first = next((x for x in everything if x.tag == "main"), None) or next((x for x in everything if x.tag == "article"), None)
     while lead is not None:
         holding.add(id(lead))
         lead = lead.parent
     while stack:
         x, inside = stack.pop()
         # what holds the first article isn't furniture, whatever it is called
-        x.drop = x.parent is not None and _is_furniture(x, inside) and id(x) not in holding
+        spared = x.parent is None or id(x) in holding
+        x.drop = not spared and _is_furniture(x, inside)
         if x.drop:
             continue
+        x.name = PLAIN if spared else _named(x, inside)
         order.append(x)
         inside = inside or x.tag in ("article", "main")
         stack += [(c, inside) for c in x.items if isinstance(c, Node)]
-    for x in reversed(order):
-        for c in x.items:
-            if isinstance(c, str):
-                n = len("".join(c.split()))
-                x.chars += n
-                x.link_chars += n if x.tag == "a" else 0
-            elif not c.drop:
-                x.chars += c.chars
-                x.tags += c.tags + 1
-                x.link_chars += c.chars if x.tag == "a" else c.link_chars
-                x.link_tags += c.link_tags + (c.tag == "a")
-    whole = max(1, body.chars)
+    _count(order)
+    most = (body.chars - body.link_chars) / 2
+    if any(x.name for x in order):
+        kept, stack = [], [(top, False)]
+        while stack:
+            x, inside = stack.pop()
+            # beside an article, a node with most of the text isn't a wrapper of it
+            x.drop = _goes(x, inside, most if inside or first is None else math.inf)
+            if x.drop:
+                continue
+            kept.append(x)
+            inside = inside or x.tag in ("article", "main")
+            stack += [(c, inside) for c in x.items if isinstance(c, Node) and not c.drop]
+        order = kept
+        _count(order)
     for x in reversed(order):
         if x.chars:
-            density, linked = x.chars / max(1, x.tags), x.link_chars
-            plain = max(1, x.chars - linked)
-            base = math.log(x.chars / plain * linked + body.link_chars / whole * x.chars + math.e)
-            ratio = x.chars / max(1, linked) * max(1, x.tags) / max(1, x.link_tags)
-            x.density = density * math.log(max(ratio, 1.0)) / base if linked or x.link_tags else density * max(1.0, math.log(max(ratio, 1.0)) / base)
+            x.density = _density(x, body)
         x.sum = sum(c.density for c in x.items if isinstance(c, Node) and not c.drop)
-    return order, body
+    return order, body, most
 
 
 def _content(top: Node) -> list[Node | str]:
     """Nodes and bare texts that make the main text, in page order."""
-    order, body = _measure(top)
+    order, body, most = _measure(top)
     if not body.chars:
         return []
+    parts = _chosen(order, body, most)
+    stack = [x for x in parts if isinstance(x, Node)]
+    while stack:  # what was chosen is judged as an article is
+        x = stack.pop()
+        for c in x.items:
+            if isinstance(c, Node) and (c.name or not c.drop):
+                c.drop = _goes(c, True, most)
+                stack += [] if c.drop else [c]
+    return parts
+
+
+def _chosen(order: list[Node], body: Node, most: float) -> list[Node | str]:
     below, inside = {id(body)}, []
     for x in order:  # parents come before children
         if id(x) in below or x.parent is not None and id(x.parent) in below:
@@ -185,7 +262,9 @@ def _content(top: Node) -> list[Node | str]:
         if isinstance(c, str):
             out.append(c)
         elif c.drop:
-            continue
+            if c.name and c.tag in BLOCKS and node is not body and not _goes(c, True, most) and (_density(c, body) >= least or c.chars > 3 * c.link_chars):
+                c.drop = False
+                out.append(c)
         elif id(c) in on_path:
             stack += [(c, x) for x in reversed(c.items)]
         elif c is best or c.tag in BLOCKS and (c.density >= least or node is not body and c.chars > 3 * c.link_chars):

@@ -343,6 +343,24 @@ def test_small_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "A long sentence of the main text, with many words enough in it to be no furniture at all, and it goes on and on for some good while yet."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{LONG}<h2 id=related-work>Related work</h2><p>x<section id=social-impact><p>{LONG}</section><p class=notice-of-hearing>On 5 May.<div class=share>Share this</div><div class=related-posts><a href=x>Other story</a></div></article>", [LONG, "Related work", "x", LONG, "On 5 May."]),
+        (f"<body><div class='content has-sidebar'><p>{LONG}<p>Two {LONG}</div><footer>f</footer>", [LONG, f"Two {LONG}"]),
+        (f"<body><div class=sidebar><p>{LONG}<p>Two {LONG}</div>", [LONG, f"Two {LONG}"]),
+        (f"<body><form id=page><nav>n</nav><div><p>{LONG}<p>Two {LONG}<div class=alert-box>Three {LONG}</div><div class=share-bar>Share</div></div><input></form>", [LONG, f"Two {LONG}", f"Three {LONG}"]),
+        (f"<body><div><section><p>{LONG}<p>Two {LONG}</section><section id=notices><p>{LONG}</section><div id=comments><p>{LONG}</div></div>", [LONG, f"Two {LONG}", LONG]),
+        (f"<body><div><p>{LONG}<p>Two {LONG}<p>{LONG}</div><div id=comments><p>{LONG}</div>", [LONG, f"Two {LONG}", LONG]),
+    ],
+)
+def test_names_are_evidence_only(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
 def test_pages(spark, sf):
     import html
     import re
