@@ -361,6 +361,17 @@ def test_names_are_evidence_only(page, want):
     assert html_text.main_text(page).split("\n") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><main><p>Lead {LONG}<p>Lead <b>two</b> {LONG}<article><h1>Head</h1>{f'<p>{LONG}' * 8}</article></main>", [f"Lead {LONG}", f"Lead two {LONG}", "Head", *[LONG] * 8]),
+        (f"<body><article><p>1 {LONG}<p>{LONG}</article><article><p>2 {LONG}{f'<p>{LONG}' * 8}</article><div class=ad>x</div><article><p>3 {LONG}<p>{LONG}</article><article><h3>Teaser</h3><p><a href=x>other</a></article>", [f"1 {LONG}", LONG, f"2 {LONG}", *[LONG] * 8, f"3 {LONG}", LONG]),
+    ],
+)
+def test_dense_siblings_of_an_article(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
 def test_pages(spark, sf):
     import html
     import re
