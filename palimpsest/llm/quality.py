@@ -97,10 +97,16 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_texts(rows: list[tuple[str, int]], dictionary_bytes: int = 112_640) -> Model:
-    """Every second row of a label goes into its dictionary, the others into the calibration."""
+def fit_texts(rows: list[tuple[str, int]], dictionary_bytes: int = 112_640, sampled: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Every second row of a label goes into its dictionary, the others into the calibration.
+
+    Of each text a dictionary takes an equal share of its bytes, 256 at least, from the middle. With more than 440 texts
+    these are more than a dictionary holds, and the last of them stay: about 438 texts of 256 bytes.
+    sampled: the shares of all bad and of all good labels that rows were drawn from; scores are for the odds of all.
+    """
     kinds = {k: [t for t, y in rows if y == k] for k in (0, 1)}
-    prior = len(kinds[1]) / len(rows) if rows else 1.0
+    bad, good = (len(kinds[k]) / sampled[k] for k in (0, 1))
+    prior = good / (bad + good) if rows else 1.0
     if min(map(len, kinds.values())) < 4:
         return Model(b"", b"", [0.0] * N_FEATURES, [1.0] * N_FEATURES, [], prior)
     dictionaries = {}
@@ -115,25 +121,28 @@ def fit_texts(rows: list[tuple[str, int]], dictionary_bytes: int = 112_640) -> M
     y = np.array([k for _, k in used], dtype=float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = _calibrate(_expanded((x - mean) / scale), y)
-    # the sample has as many bad as good rows or nearly so, and the two are left at those odds
+    weights[0] += np.log(sampled[0] / sampled[1])  # from the odds of the sample to those of all labels
     return Model(dictionaries[1], dictionaries[0], mean.tolist(), scale.tolist(), weights.tolist(), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, most_chars: int = 32_768, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learns from a bounded sample of labelled rows that are not held out.
 
-    most_rows: rows of each label, those of the least hashes. most_chars: longer texts are not learned from. So at
+    most_rows: rows of each label, those of the least hashes; the calibration is for the odds of all labels that are not
+    held out, whatever most_rows leaves of each. most_chars: longer texts are not learned from. So at
     most 2 * most_rows * most_chars characters come to the driver, whatever the input's size.
     """
     labels = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("int").alias("_label")).where(~held_out(key) & F.col(key).isNotNull())
     docs = texts(docs, key, text).where((F.length(text) <= most_chars) & (F.length(text) > 0) & ~held_out(key))
+    counts = {r[0]: r[1] for r in labels.distinct().where("_label IN (0, 1)").groupBy("_label").count().collect()}
+    sampled = tuple(min(1.0, most_rows / counts.get(kind, 1)) for kind in (0, 1))
     rows = []
     for kind in (0, 1):
         own = labels.where(F.col("_label") == kind).distinct().orderBy(F.xxhash64(key), key).limit(most_rows)
         # at most most_rows keys of 8 bytes
         found = docs.join(F.broadcast(own), key).groupBy(key).agg(F.min(text).alias("t")).orderBy(key).select("t").toLocalIterator()
         rows += [(r[0], kind) for r in found]
-    return fit_texts(rows)
+    return fit_texts(rows, sampled=sampled)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -100,6 +100,17 @@ def test_quality_of_held_out_rows(spark):
     assert (good[:, None] > bad[None, :]).mean() > 0.97 and (good >= 0.3).mean() > 0.97 and (bad < 0.3).mean() > 0.85
 
 
+def test_quality_is_calibrated_to_the_odds_of_all_labels(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").where(~quality.held_out())
+    n = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
+    odds = n[1] / n[0]
+    few, most = (quality.fit(docs, labels, most_rows=k).prior for k in (n[0], 1500))
+    assert few == pytest.approx(odds / (1 + odds)) == most
+    rows = [(f"{w} {i} " * 40, y) for i in range(40) for w, y in (("alpha beta", 1), ("zzz", 0))]
+    even, fewer_bad = quality.fit_texts(rows), quality.fit_texts(rows, sampled=(1.0, 0.25))
+    assert fewer_bad.weights[0] - even.weights[0] == pytest.approx(np.log(4)) and fewer_bad.weights[1:] == even.weights[1:]
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([(1, None), (None, 0)], "doc_id long, quality int")
     model = quality.fit(table(spark, ODD), labels)
