@@ -3,7 +3,8 @@
 All rolling word pairs and quadruples of the texts are joined to the places of the same words in license templates. A
 match votes for the diagonal (place in the text minus place in the template). A phrase stands where all of its
 template's votes fall on one diagonal; a longer template may have words put in or left out, so neighbouring diagonals
-are merged and the span is verified by the share of the template's places that it covers.
+are merged and the span is verified by the share of the template's places that it covers. Of sentences that claim the
+same words, as sibling licences do, the best covered one counts.
 """
 
 from __future__ import annotations
@@ -54,6 +55,21 @@ def templates(spark: SparkSession, base: dict[str, str], sentences: dict[str, st
     return table.withColumn("gram", F.when(F.col("t2").isNull(), F.xxhash64("t0", "t1")).otherwise(F.xxhash64("t0", "t1", "t2", "t3")))
 
 
+def _without_siblings(runs: DataFrame) -> DataFrame:
+    """row, label, covered of the spans that don't share most of the shorter one with a better span that stays.
+
+    Best first within each chain of overlapping spans; spans that are equally covered all stay.
+    """
+    by_start = Window.partitionBy("row").orderBy("start", "stop", "template")
+    before = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    chains = runs.withColumn("opens", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    chains = chains.withColumn("chain", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = chains.groupBy("row", "chain").agg(F.array_sort(F.collect_list(F.struct((-F.col("covered")).alias("order"), "start", "stop", "label", "covered"))).alias("spans"))
+    kept = F.expr("""aggregate(spans, slice(spans, 1, 0), (kept, x) -> IF(exists(kept, k -> k.covered > x.covered
+        AND 2 * (least(k.stop, x.stop) - greatest(k.start, x.start)) > least(k.stop - k.start, x.stop - x.start)), kept, concat(kept, array(x))))""")
+    return chains.select("row", F.explode(kept).alias("span")).select("row", "span.label", "span.covered")
+
+
 def scan(docs: DataFrame, base: dict[str, str] = BASE, sentences: dict[str, str] = SENTENCES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
@@ -74,15 +90,15 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, sentences: dict[str, str]
     same = (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("t2").isNull() | (F.col("w2") == F.col("t2")) & (F.col("w3") == F.col("t3")))
     hits = hashed.join(F.broadcast(templates(spark, base, sentences)), "gram").where(same)
     votes = hits.groupBy("row", "template", "label", "is_base", "grams", (F.col("at") - F.col("place")).alias("diagonal"))
-    votes = votes.agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"))
+    votes = votes.agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"), F.min("at").alias("start"), (F.max("at") + QUAD).alias("stop"))
 
     exact = votes.where("is_base AND n = grams").groupBy("row").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base_found"))
     one = Window.partitionBy("row", "template").orderBy("diagonal")
     runs = votes.where("NOT is_base").withColumn("opens", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(one), F.lit(SLACK + 1)) > SLACK).cast("int"))
-    runs = runs.withColumn("run", F.sum("opens").over(one)).groupBy("row", "template", "label", "grams", "run").agg(F.bit_or("places").alias("places"))
+    runs = runs.withColumn("run", F.sum("opens").over(one)).groupBy("row", "template", "label", "grams", "run").agg(F.bit_or("places").alias("places"), F.min("start").alias("start"), F.max("stop").alias("stop"))
     runs = runs.withColumn("covered", F.bit_count("places") / F.col("grams")).where(F.col("covered") >= COVERED)
-    near = runs.groupBy("row").agg(F.collect_set("label").alias("near_found"), F.max("covered").alias("covered"))
+    near = _without_siblings(runs).groupBy("row").agg(F.collect_set("label").alias("near_found"), F.max("covered").alias("covered"))
 
     none = F.array().cast("array<string>")
     found = rows.select("row", key, F.size("words").cast("long").alias("n_words")).join(exact, "row", "left").join(near, "row", "left")

@@ -289,6 +289,17 @@ def test_license_scan(spark):
     assert scan(table(spark, ODD)).count() == len(ODD) and scan(table(spark, [])).count() == 0
 
 
+def test_sibling_licenses(spark):
+    from palimpsest.llm.license_scan import SENTENCES, scan
+
+    by = {label: sentence for sentence, label in SENTENCES.items()}
+    rows = [(i, sentence) for i, sentence in enumerate(by.values())]
+    rows += [(20, f"{by['gpl']} {by['lgpl']}"), (21, f"{by['cc-by-sa']} and {by['cc-by']}"), (22, f"{by['lgpl']} " * 50 + by["mit"])]
+    got = {r.doc_id: {x for x in r.labels.split(",")} - {x for x in r.base_labels.split(",") if x and x not in ("apache", "gpl")} for r in scan(table(spark, rows)).collect()}
+    want = {i: {label} for i, label in enumerate(by)} | {20: {"gpl", "lgpl"}, 21: {"cc-by", "cc-by-sa"}, 22: {"lgpl", "mit"}}
+    assert got == want
+
+
 # 8
 
 
