@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import struct
 import zlib
@@ -74,6 +75,8 @@ def encode(raw: bytes, codec: str) -> bytes:
         return raw
     if codec == "zlib":
         return zlib.compress(raw, 9)
+    if codec == "gzip":
+        return gzip.compress(raw, 9, mtime=0)
     if codec == "zstd":
         import zstandard
 
@@ -86,6 +89,8 @@ def decode(blob: bytes, codec: str) -> bytes:
         return blob
     if codec == "zlib":
         return zlib.decompress(blob)
+    if codec == "gzip":
+        return gzip.decompress(blob)
     if codec == "zstd":
         import zstandard
 

@@ -179,3 +179,10 @@ def test_stream_becomes_revisions(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest(s, spark.readStream.schema(FILES).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
     assert s.last_revision() == 1 and len(contents(restore(s, 1))) == 2
+
+
+@pytest.mark.parametrize("codec", ["none", "zlib", "gzip", "zstd"])
+def test_codecs(codec):
+    for raw in (b"", b"a" * 100_000, bytes(range(256)) * 9):
+        blob = packing.encode(raw, codec)
+        assert packing.decode(blob, codec) == raw and blob == packing.encode(raw, codec)
