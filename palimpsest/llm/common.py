@@ -15,16 +15,15 @@ from pyspark.sql import functions as F
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows here are whole texts, and a worker may hold several batches: Arrow's are bounded by bytes, those of a scan by rows.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package; a cluster ships it with --py-files.
-
-    Arrow batches are bounded by bytes, at 8 MB: their rows are whole texts, and a worker may hold several batches.
-    """
-    if spark.conf.get(BATCH, None) is None:  # a setting of the user's own stays
-        spark.conf.set(BATCH, "8m")
+    """Lets Python workers on this machine import the package; a cluster ships it with --py-files."""
+    for name, size in BATCHES.items():
+        if spark.conf.get(name, None) is None:  # a setting of the user's own stays
+            spark.conf.set(name, size)
     env = spark.sparkContext.environment
     if PACKAGE_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, env.get("PYTHONPATH", "")) if x)
@@ -66,22 +65,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Token -> 64-bit hash of its normal form, remembered up to a bound. 0 stands for a token without a normal form."""
+class Remembered(dict):
+    """Word -> what was computed for it, within a bound of bytes.
 
-    def __init__(self, normal, limit: int = 200_000):
-        super().__init__()
-        self.normal, self.limit = normal, limit
+    Two generations: the younger becomes the older once it holds half of the bound, and a word that is asked for again moves
+    back. So words of one use pass through while frequent ones stay. A word longer than LONGEST isn't kept.
+    """
 
-    def __missing__(self, token: str) -> int:
-        word = self.normal(token)
-        value = (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
-        if len(token) <= 64:
-            if len(self) >= self.limit:
+    def __init__(self, compute, most_bytes: int):
+        super().__init__()
+        self.compute, self.most_bytes = compute, most_bytes
+        self.old: dict = {}
+        self.bytes = 0
+
+    def __missing__(self, word: str):
+        value = self.old.get(word)
+        if value is None:
+            value = self.compute(word)
+        if len(word) <= LONGEST:
+            if self.bytes > self.most_bytes // 2:
+                self.old, self.bytes = dict(self), 0
                 self.clear()
-            self[token] = value
+            self.bytes += ENTRY + len(word)
+            self[word] = value
         return value
 
+
+#: Bytes of an entry beside its word (the objects' heads, the value, its place in the table); characters of a word that is kept.
+ENTRY, LONGEST = 200, 256
+
+
+class WordHashes(Remembered):
+    """Token -> 64-bit hash of its normal form; 0 stands for a token without a normal form."""
+
+    def __init__(self, normal, most_bytes: int = 96 << 20):
+        super().__init__(self.hashed, most_bytes)
+        self.normal = normal
+
+    def hashed(self, token: str) -> int:
+        word = self.normal(token)
+        return (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
+
     def of(self, text: str) -> np.ndarray:
         tokens = text.split()
         out = np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))

@@ -68,9 +68,12 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     The edited text is the text whose last floor(n_chars / 4) code points are replaced by the first as many (or all)
     of the next one in ascending key order; the last is followed by the first.
 
-    Each text is shuffled once, and a quarter of the next one goes to it. A null text is empty; a null key comes
-    first; rows of one key are ordered by a hash of their text and repeated rows share their place and result. A single
-    row follows itself; an empty table gives an empty result. Other columns are ignored.
+    Each text is shuffled once, and a quarter of the next one goes to it. Texts are streamed past hash tables of what is
+    joined to them (a place, and that quarter, for each of a partition's texts), so whole texts are never sorted.
+
+    A null text is empty; a null key comes first; rows of one key are ordered by a hash of their text and repeated
+    rows share their place and result. A single row follows itself; an empty table gives an empty result. Other columns
+    are ignored.
     """
     rows = _keyed(docs, key, text)
     base = written(rows.select(*K, key, F.char_length("text").cast("long").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("fingerprint")), "base")
@@ -78,10 +81,11 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = base.groupBy(*K).agg(F.first(key).alias(key), F.first("fingerprint").alias("fingerprint")).join(shared, "fingerprint", "left")
     places = written(_ring(base.select(*K, "n_chars")).join(own, K), "places")
 
-    placed = rows.drop(key).join(places, K)  # all uses below read the same columns of rows, and so share one shuffle of the texts
-    heads = placed.select(*(F.col(f"p{i}").alias(f"k{i}") for i in range(3)), F.substring("text", F.lit(1), F.floor(F.col("p_chars") / 4).cast("int")).alias("head"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(K)
+    placed = rows.drop(key).join(places.hint("shuffle_hash"), K)  # all uses below read the same columns of rows, and so share one shuffle of the texts
+    heads = placed.select(*(F.col(f"p{i}").alias(f"k{i}") for i in range(3)), F.substring("text", F.lit(1), F.floor(F.col("p_chars") / 4).cast("int")).alias("head"), F.col("fingerprint").alias("next_fingerprint"))
+    heads = heads.repartition(*K).dropDuplicates(K)  # one sort, behind the shuffle
     n, q = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
-    both = placed.join(heads, K).select(key, "text", "fingerprint", "next_fingerprint", F.concat(F.substring("text", F.lit(1), n - q), "head").alias("edited"))
+    both = placed.join(heads.hint("shuffle_hash"), K).select(key, "text", "fingerprint", "next_fingerprint", F.concat(F.substring("text", F.lit(1), n - q), "head").alias("edited"))
     both = both.withColumns({"canonical": canonical(F.col("text")), "edited_canonical": canonical(F.col("edited"))})
     out = both.select(
         key, F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", wide_hash(F.col("edited_canonical")).alias("edited_fingerprint"),
