@@ -1,7 +1,7 @@
 """BPE encoding and decoding: a priority queue of merge ranks over a doubly linked list of symbols.
 
 The vocabulary file is data of a public tokenizer; the merges are done here. The file's own normaliser and
-pre-tokeniser rules are applied by the library for each distinct run of visible characters.
+pre-tokeniser rules are applied by the library for each distinct run of visible characters, but for plain Latin text.
 """
 
 from __future__ import annotations
@@ -16,19 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.byte_units import load, resolve, slices
-from palimpsest.llm.common import prepare, texts
+from palimpsest.llm.common import Remembered, prepare, texts
 
 #: White space of the pre-tokeniser. Python's split() also cuts at 1C to 1F, which are symbols there.
 SPACES = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: What the file's pattern comes to for lower-case ASCII without white space.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Texts of these characters alone are cut here, as each is a plain letter, digit, mark or white space and has one lower
+#: case. What the file's pattern comes to for them:
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-z0-9à-öø-ÿß]+")
+#: The character that stands for each byte in the vocabulary: its own where that is a visible one of Latin-1, else one above.
+_visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _visible} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)).difference(_visible)))}
 
 
 class Bpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, vocabulary: str, most_entries: int = 250_000):
+    def __init__(self, vocabulary: str, most_bytes: int = 160 << 20):
         with open(resolve(vocabulary), encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -43,10 +48,10 @@ class Bpe:
             self.merges[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tok = load(vocabulary)
-        self.own_words = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\") and bool(self.suffix)
-        self.most_entries = most_entries
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.own_words = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\") and '"ByteLevel"' in json.dumps(spec.get("pre_tokenizer")) and bool(self.suffix)
+        self.words = Remembered(lambda w: self._coded("".join(map(BYTES.__getitem__, w.encode()))), most_bytes // 2)
+        self.coded = Remembered(self._coded, most_bytes // 4)  # the same words may come as characters and as the pre-tokeniser's
+        self.runs = Remembered(self._run, most_bytes // 4)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -74,36 +79,30 @@ class Bpe:
                 heapq.heappush(queue, (m[0], h, ids[h], new, m[1]))
         return [i for i in ids if i >= 0]
 
-    def _word(self, word: str) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            out = b"".join(map(self.packed.__getitem__, self.merge(word)))
-            if len(word) <= 64:
-                if len(self.words) >= self.most_entries:
-                    self.words.clear()
-                self.words[word] = out
-        return out
+    def _coded(self, word: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.merge(word)))
+
+    def _is_plain(self, text: str) -> bool:
+        return self.own_words and PLAIN.fullmatch(text) is not None and not (self.cut_special and self.cut_special.search(text))
 
     def _plain(self, run: str) -> bytes:
-        if self.own_words and run.isascii() and run.isprintable():
-            return b"".join(map(self._word, ASCII_WORDS.findall(run.lower())))
+        """A run without special strings."""
         pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(run) if self.tok.normalizer else run)
-        return b"".join(self._word(w) for w, _ in pieces if w)
+        return b"".join(self.coded[w] for w, _ in pieces if w)
 
     def _run(self, run: str) -> bytes:
+        if self._is_plain(run):
+            return b"".join(map(self.words.__getitem__, WORDS.findall(run.lower())))
         if self.cut_special and self.cut_special.search(run):
             return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._plain(x) for x in self.cut_special.split(run) if x)
-        return self._plain(run)
+        return self._plain(run) if run else b""
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self._is_plain(text):
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
         runs = SPACES.split(text) if any(c in text for c in SEPARATORS) else text.split()
-        if len(self.runs) >= self.most_entries:
-            self.runs.clear()
-        known = self.runs
-        for r in set(runs).difference(known):
-            known[r] = self._run(r) if r else b""
-        return b"".join(map(known.__getitem__, runs))
+        return b"".join(map(self.runs.__getitem__, runs))
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         """The vocabulary strings of the ids, joined as a file without a decoder is: by one space."""
