@@ -14,7 +14,7 @@ _counters: dict[str, Pieces] = {}
 
 def _counter(vocabulary: str) -> Pieces:
     if vocabulary not in _counters:
-        _counters[vocabulary] = Pieces(vocabulary, len)
+        _counters[vocabulary] = Pieces(vocabulary)
     return _counters[vocabulary]
 
 
@@ -32,7 +32,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
         for batch in batches:
             n: list[int] = []
             for _, part in slices(batch.column(1)):
-                n += map(sum, count(part))
+                n += count.lengths(part)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=[key, "n_bytes", "n_tokens"])
 
     rows = texts(docs, key, text)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.byte_units import Pieces, as_bytes, slices
+from palimpsest.llm.byte_units import Pieces, slices
 from palimpsest.llm.common import new_path, prepare, texts
 
 BLOCK, WITHIN = 1024, 0.9
@@ -82,7 +82,7 @@ _encoders: dict[str, Pieces] = {}
 def _encoder(vocabulary: str) -> Pieces:
     """One for each worker process: a module's function is found by name there, while a closure would bring a copy."""
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = Pieces(vocabulary, as_bytes)
+        _encoders[vocabulary] = Pieces(vocabulary)
     return _encoders[vocabulary]
 
 
@@ -96,7 +96,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     prepare(docs.sparkSession)
 
     def run(batches):
-        encode, file = _encoder(vocabulary), TaskContext.get().partitionId()
+        encode, file = _encoder(vocabulary).encode, TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         keys, lens, parts, held, first, segment = [], [], [], 0, 0, 0
 
@@ -112,7 +112,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             names = batch.column(0).to_pylist()
             for i, part in slices(batch.column(1)):
                 for name, values in zip(names[i : i + len(part)], encode(part)):
-                    data = b"".join(values) + end
+                    data = values + end
                     n = len(data) // 4
                     if held and held + n > segment_ids:
                         yield close()

@@ -132,11 +132,17 @@ def plain_ids(name, texts):
     return [e.ids for e in byte_units.load(name).encode_batch(texts, add_special_tokens=False)]
 
 
+KEPT = byte_units.Pieces("byte_bpe_50k.json", together=3)
+
+
 @settings(max_examples=400, deadline=None)
 @given(TEXTS)
 def test_pieces_give_the_ids_of_the_library(text):
-    values = next(byte_units.Pieces("byte_bpe_50k.json", byte_units.as_bytes)([text]))
-    assert np.frombuffer(b"".join(values), "<u4").tolist() == plain_ids("byte_bpe_50k.json", [text])[0]
+    for pieces in (byte_units.Pieces("byte_bpe_50k.json", most_bytes=2000), KEPT):  # one that forgets, one that knows words of other texts
+        texts = [text, "", text[::-1], text]
+        want = plain_ids("byte_bpe_50k.json", texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in pieces.encode(texts)] == want
+        assert pieces.lengths(texts) == list(map(len, want))
 
 
 @settings(max_examples=400, deadline=None)
