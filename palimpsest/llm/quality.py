@@ -1,8 +1,8 @@
 """Compression classifier: zstandard with a dictionary of good text against one with a dictionary of bad text.
 
-A text is cut into blocks; each is compressed three times: with either dictionary and with none. The difference of the
-two sizes, normalised by the block, says which text it resembles; the plain ratio says how far it repeats itself.
-Their means over the blocks go through a logistic curve fitted to the labelled sample (calibration).
+A text is cut into blocks, and each is compressed with either dictionary. What the bad one makes larger than the good one,
+normalised by the size of the text, says which of them it resembles; one logistic curve fitted to the labelled sample makes
+a probability of that number (calibration).
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.byte_units import slices
 from palimpsest.llm.common import prepare, texts
 
-BLOCK, LEVEL = 2048, 3
-N_FEATURES = 7
+BLOCK, LEVEL = 1024, 9
+#: Counted beside each block's bytes, so that a few bytes say little.
+MARGIN = 16
 
 
 def held_out(key: str = "doc_id"):
@@ -29,129 +30,110 @@ def held_out(key: str = "doc_id"):
 
 @dataclass
 class Model:
-    """Two dictionaries and the calibration. Without both labels in the sample the score is `prior` for all texts."""
+    """Two dictionaries and the curve. Without both labels in the sample (no dictionaries) the score is `prior` for all texts."""
 
     good: bytes
     bad: bytes
-    mean: list[float]
-    scale: list[float]
-    weights: list[float]
+    slope: float
+    offset: float
     prior: float
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
-        self.good, self.bad = (self._with(d) for d in (model.good, model.bad))
+        self.good, self.bad = (self._with(d) if d else None for d in (model.good, model.bad))
 
     @staticmethod
-    def _with(data: bytes) -> zstandard.ZstdCompressor | None:
-        if not data:
-            return None
+    def _with(data: bytes) -> zstandard.ZstdCompressor:
         d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def features(self, text: str) -> np.ndarray:
-        """Normalised differences and plain ratio: mean, extremes and spread over the blocks; length of short texts."""
+    def difference(self, text: str) -> float:
+        """Compressed size with the bad dictionary less that with the good one, over the size of the whole text."""
         data = text.encode("utf-8", "surrogatepass")
         blocks = [data[i : i + BLOCK] for i in range(0, max(1, len(data)), BLOCK)]
-        if len(blocks) > 1 and len(blocks[-1]) < BLOCK // 4:
-            blocks[-2:] = [blocks[-2] + blocks[-1]]
-        rows = np.empty((len(blocks), 3))
-        for i, b in enumerate(blocks):
-            n = len(b) + 16
-            g, w, p = (len(c.compress(b)) if c else n for c in (self.good, self.bad, self.plain))
-            rows[i] = (g - w) / max(g, w), (g - w) / n, p / n
-        weights = np.array([len(b) + 1 for b in blocks], dtype=float)
-        mean = weights @ rows / weights.sum()
-        return np.array([*mean, rows[:, 0].max(), rows[:, 0].min(), rows[:, 2].min(), 1 / (1 + len(data) / 64)])
-
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        m = self.model
-        if not m.weights:
-            return np.full(len(features), m.prior)
-        x = (features - m.mean) / m.scale
-        return 1 / (1 + np.exp(-np.clip(_expanded(x) @ m.weights, -30, 30)))
-
+        return sum(len(self.bad.compress(b)) - len(self.good.compress(b)) for b in blocks) / (len(data) + MARGIN * len(blocks))
 
-def _expanded(x: np.ndarray) -> np.ndarray:
-    """The features, their squares and products, and a constant."""
-    i, j = np.triu_indices(x.shape[1])
-    x = np.clip(x, -8, 8)
-    return np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]])
+    def scores(self, texts: list[str]) -> np.ndarray:
+        m = self.model
+        if self.good is None:
+            return np.full(len(texts), m.prior)
+        x = np.array([self.difference(t) for t in texts], dtype=float)
+        return 1 / (1 + np.exp(-np.clip(m.offset + m.slope * x, -30, 30)))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge-penalised logistic weights by Newton steps."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[0] = 1e-6
+def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset of the logistic curve by Newton steps; the ridge bounds the slope where the labels are told apart."""
+    scale = x.std() + 1e-9
+    rows, w, penalty = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2), np.array([ridge, 1e-6])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.diag(penalty), rows.T @ (y - p) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return float(w[0] / scale), float(w[1])
+
+
+def middle(data: bytes | str, most: int):
+    """`most` of the middle, or all of it."""
+    return data[max(0, (len(data) - most) // 2) :][:most]
+
+
+def dictionary(texts: list[str], most_bytes: int) -> bytes:
+    """An equal share of the bytes of every text, from its middle; short texts leave some of theirs unused."""
+    share = max(1, most_bytes // max(1, len(texts)) - 1)
+    return b"\n".join(middle(t.encode("utf-8", "surrogatepass"), share) for t in texts)[:most_bytes]
 
 
 def fit_texts(rows: list[tuple[str, int]], dictionary_bytes: int = 112_640, sampled: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Every second row of a label goes into its dictionary, the others into the calibration.
 
-    Of each text a dictionary takes an equal share of its bytes, 256 at least, from the middle. With more than 440 texts
-    these are more than a dictionary holds, and the last of them stay: about 438 texts of 256 bytes.
     sampled: the shares of all bad and of all good labels that rows were drawn from; scores are for the odds of all.
     """
     kinds = {k: [t for t, y in rows if y == k] for k in (0, 1)}
     bad, good = (len(kinds[k]) / sampled[k] for k in (0, 1))
     prior = good / (bad + good) if rows else 1.0
     if min(map(len, kinds.values())) < 4:
-        return Model(b"", b"", [0.0] * N_FEATURES, [1.0] * N_FEATURES, [], prior)
-    dictionaries = {}
-    for k, own in kinds.items():
-        parts = own[::2]
-        share = max(256, dictionary_bytes // len(parts))  # many texts, a part from the middle of each
-        dictionaries[k] = b"\n".join((d := t.encode("utf-8", "surrogatepass"))[max(0, (len(d) - share) // 2) :][:share] for t in parts)[-dictionary_bytes:]
-    model = Model(dictionaries[1], dictionaries[0], [0.0] * N_FEATURES, [1.0] * N_FEATURES, [], prior)
+        return Model(b"", b"", 0.0, 0.0, prior)
+    model = Model(*(dictionary(kinds[k][::2], dictionary_bytes) for k in (1, 0)), 0.0, 0.0, prior)
     scorer = Scorer(model)
-    used = [(t, k) for k, own in kinds.items() for t in own[1::2]]
-    x = np.stack([scorer.features(t) for t, _ in used])
-    y = np.array([k for _, k in used], dtype=float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = _calibrate(_expanded((x - mean) / scale), y)
-    weights[0] += np.log(sampled[0] / sampled[1])  # from the odds of the sample to those of all labels
-    return Model(dictionaries[1], dictionaries[0], mean.tolist(), scale.tolist(), weights.tolist(), prior)
+    used = [(scorer.difference(t), k) for k, own in kinds.items() for t in own[1::2]]
+    model.slope, model.offset = _calibrate(*(np.array(c, dtype=float) for c in zip(*used)))
+    model.offset += float(np.log(sampled[0] / sampled[1]))  # from the odds of the sample to those of all labels
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, most_chars: int = 32_768, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Learns from a bounded sample of labelled rows that are not held out.
+    """Learns from a bounded sample of labelled rows that are not held out; empty texts teach nothing.
 
     most_rows: rows of each label, those of the least hashes; the calibration is for the odds of all labels that are not
-    held out, whatever most_rows leaves of each. most_chars: longer texts are not learned from. So at
-    most 2 * most_rows * most_chars characters come to the driver, whatever the input's size.
+    held out, whatever most_rows leaves of each. most_chars: of a longer text its middle is learned from. So at most
+    2 * most_rows * most_chars characters come to the driver, whatever the input's size. Null keys and labels are left out;
+    of rows of one key the least text counts; a key with both labels teaches both. No labels or no rows: see Model.
     """
-    labels = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("int").alias("_label")).where(~held_out(key) & F.col(key).isNotNull())
-    docs = texts(docs, key, text).where((F.length(text) <= most_chars) & (F.length(text) > 0) & ~held_out(key))
-    counts = {r[0]: r[1] for r in labels.distinct().where("_label IN (0, 1)").groupBy("_label").count().collect()}
+    labels = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("int").alias("_label")).where(~held_out(key) & F.col(key).isNotNull() & F.col("_label").isin(0, 1)).distinct()
+    docs = texts(docs, key, text).where((F.length(text) > 0) & ~held_out(key))
+    start = F.greatest(F.floor((F.length(text) - most_chars) / 2), F.lit(0)).cast("int") + 1
+    docs = docs.withColumn(text, F.substring(text, start, F.lit(most_chars)))
+    counts = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
     sampled = tuple(min(1.0, most_rows / counts.get(kind, 1)) for kind in (0, 1))
-    rows = []
-    for kind in (0, 1):
-        own = labels.where(F.col("_label") == kind).distinct().orderBy(F.xxhash64(key), key).limit(most_rows)
-        # at most most_rows keys of 8 bytes
-        found = docs.join(F.broadcast(own), key).groupBy(key).agg(F.min(text).alias("t")).orderBy(key).select("t").toLocalIterator()
-        rows += [(r[0], kind) for r in found]
-    return fit_texts(rows, sampled=sampled)
+    own = [labels.where(F.col("_label") == kind).orderBy(F.xxhash64(key), key).limit(most_rows) for kind in (0, 1)]
+    # twice most_rows keys of 8 bytes
+    found = docs.join(F.broadcast(own[0].union(own[1])), key).groupBy(key, "_label").agg(F.min(text).alias("t"))
+    return fit_texts([(r[0], r[1]) for r in found.orderBy(key, "_label").select("t", "_label").toLocalIterator()], sampled=sampled)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted of each row.
 
     The score depends on the whole text alone. Narrow: nothing is shuffled. A null text is an empty one, and an empty
-    one has the score of its length; null keys, ties and repeated rows stay as they are; other columns are ignored.
+    one has difference 0; null keys, ties and repeated rows stay as they are; an empty table gives an empty result; other
+    columns are ignored.
     """
-    held = prepare(docs.sparkSession).sparkContext.broadcast(model)  # two dictionaries of 110 KB and some weights
+    held = prepare(docs.sparkSession).sparkContext.broadcast(model)  # two dictionaries of 110 KB and three numbers
 
     def run(batches):
         scorer = Scorer(held.value)
@@ -163,7 +145,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is at least the threshold. Narrow."""
+    """The rows of docs, with all their columns, whose score is at least the threshold. Narrow.
+
+    Nulls, ties, repeated rows and empty tables are as in `score`: rows of equal texts stay or go together.
+    """
     held = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
@@ -175,5 +160,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text: str =
 
 
 def _scored(scorer: Scorer, column) -> np.ndarray:
-    x = [scorer.features(t or "") for _, part in slices(column) for t in part]
-    return scorer.scores(np.stack(x)) if x else np.empty(0)
+    return np.concatenate([np.empty(0), *(scorer.scores([t or "" for t in part]) for _, part in slices(column))])
