@@ -2,12 +2,17 @@
 
 Of every node: characters for each tag, lowered where much of it is links. The node whose children's densities sum to
 the most holds the article. The least density on the path from it up to the body is the threshold: what stands beside
-that path and reaches the threshold, or stands in its container and isn't mostly links, belongs to the text too. An
-article or main element on the path bounds the text: of what is outside, only its own siblings may belong.
+that path and reaches the threshold, or stands in its container and isn't mostly links, belongs to the text too.
 
-Names of page furniture in class or id, and forms, are evidence beside length and links: what is mostly links or short
+The density is chars / tags * ln(chars / link chars * tags / link tags) / ln(chars / plain chars * link chars + the body's
+share of links * chars + e). The quotient of logarithms stands for a logarithm to the base of the second one, which
+doesn't exist where a page has no links (a base of 1); it is at least 1 for a node without links.
+
+Names of page furniture in class or id, and forms, are a prior beside length and links: what is mostly links or short
 goes by its name, what holds most of the body's text outside links never does. A name that is nothing but furniture also
 keeps a node from being chosen first; in what was chosen and in its container its long text stays, comments excepted.
+What holds the first main or article is spared by name, and a header inside one is not the page's; beyond that, these
+elements are nodes like all others.
 """
 
 from __future__ import annotations
@@ -233,25 +238,6 @@ def _content(top: Node) -> list[Node | str]:
     return parts
 
 
-def _beside(x: Node, body: Node, path: list[Node]) -> list[Node | str]:
-    """An article or main with its siblings that belong to it, in page order.
-
-    They aren't mostly links, and main or an article holds them, or they aren't short and reach the least density of the
-    path, composite or in characters for each tag (the composite one grows with a node's size).
-    """
-    if x is body:
-        return [x]
-    bare = x.parent.tag in ("article", "main")
-    least, thin = min(y.density for y in path), min(y.chars / max(1, y.tags) for y in path)
-
-    def belongs(c: Node) -> bool:
-        if c.drop or c.tag not in BLOCKS or c.chars <= 3 * c.link_chars:
-            return False
-        return bare or c.density >= least or c.chars >= SHORT and c.chars / max(1, c.tags) >= thin
-
-    return [c for c in x.parent.items if c is x or (bare if isinstance(c, str) else belongs(c))]
-
-
 def _chosen(order: list[Node], body: Node, most: float) -> list[Node | str]:
     below, inside = {id(body)}, []
     for x in order:  # parents come before children
@@ -266,11 +252,6 @@ def _chosen(order: list[Node], body: Node, most: float) -> list[Node | str]:
         path.append(x)
         x = x.parent
     path.append(body)
-    for x in path:  # the nearest article or main, and what is as dense beside it, bound the text
-        if x.tag in ("article", "main"):
-            while x.parent is not None and x.parent.tag == "article":
-                x = x.parent
-            return _beside(x, body, path[: path.index(x) + 2])
     least = min(x.density for x in path)
     on_path = {id(x) for x in path[1:]}
 
@@ -281,7 +262,7 @@ def _chosen(order: list[Node], body: Node, most: float) -> list[Node | str]:
         if isinstance(c, str):
             out.append(c)
         elif c.drop:
-            if c.name and c.tag in BLOCKS and node is not body and not _goes(c, True, most) and (_density(c, body) >= least or c.chars > 3 * c.link_chars):
+            if c.name not in (PLAIN, OTHERS) and c.tag in BLOCKS and node is not body and not _goes(c, True, most) and (_density(c, body) >= least or c.chars > 3 * c.link_chars):
                 c.drop = False
                 out.append(c)
         elif id(c) in on_path:
@@ -325,7 +306,8 @@ def main_text(page: str) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row. Narrow, one page in hand at a time, whole pages.
 
-    Null html is empty and gives an empty text; null ids and urls stay; repeated rows stay; other columns are ignored.
+    Null html is empty and gives an empty text; null ids and urls stay; repeated rows stay; of equally dense nodes the first
+    counts; an empty table gives an empty result; other columns are ignored.
     """
     prepare(pages.sparkSession)
 
