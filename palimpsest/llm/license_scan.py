@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import texts
+from palimpsest.llm.common import prepare, texts, written
 
 # The base phrases with their labels, and opening sentences of public licences, in lower case.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -45,8 +45,8 @@ def templates(spark: SparkSession, base: dict[str, str], sentences: dict[str, st
     rows = []
     for number, (phrase, label) in enumerate([*base.items(), *sentences.items()]):
         own, k = phrase.split(), PAIR if number < len(base) else QUAD
-        if not k <= len(own) < k + 63:
-            raise ValueError(f"a template has {k} to {k + 62} words: {phrase}")
+        if len(own) < k:
+            raise ValueError(f"a template has {k} words at least: {phrase}")
         for place in range(len(own) - k + 1):
             gram = [*own[place : place + k], *[None] * (QUAD - k)]
             quoted = ", ".join("CAST(NULL AS STRING)" if w is None else f"'{w}'" for w in gram)
@@ -75,33 +75,40 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, sentences: dict[str, str]
 
     n_base counts the places of base phrases, first_word and last_word are their least and greatest start; labels has
     also those of sentences found; score is the greatest share of a found template that stands in the text, 0 if none.
-    Templates are constants, so broadcasting them is bounded; texts are not shuffled, only votes and counts are.
+    Templates are constants, so broadcasting them is bounded; they may be of any length. The texts are read once and not
+    shuffled: what goes on is a row for each text and one for each vote. A row is known by its key and 128 bits of hash of
+    its text, so that nothing depends on how the table is split or read again.
 
-    Null texts are empty; null keys stay; repeated rows are scanned and returned each; other columns are ignored.
+    Null and empty texts have no words; null keys stay; repeated rows are scanned and returned each; an empty table gives an
+    empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    # the same files in the same splits give a row the same number in both uses
-    rows = texts(docs, key, text).select(F.monotonically_increasing_id().alias("row"), key, words(F.col(text)).alias("words"))
+    spark = prepare(docs.sparkSession)
+    row = F.struct(F.col(key).alias("key"), *(F.xxhash64(F.lit(s), F.col(text)).alias(f"h{s}") for s in (1, 2))).alias("row")
+    rows = texts(docs, key, text).select(row, words(F.col(text)).alias("words"))
     shifted = [F.col("words"), *(F.slice("words", F.lit(i + 1), F.size("words")) for i in range(1, QUAD))]
-    grams = rows.select("row", F.posexplode(F.arrays_zip(*(c.alias(f"w{i}") for i, c in enumerate(shifted)))).alias("at", "w"))
-    grams = grams.select("row", "at", "w.*").toDF("row", "at", *(f"w{i}" for i in range(QUAD)))
-    pair, quad = F.when(F.col("w1").isNotNull(), F.xxhash64("w0", "w1")), F.when(F.col("w3").isNotNull(), F.xxhash64("w0", "w1", "w2", "w3"))
-    hashed = grams.select("row", "at", "w0", "w1", "w2", "w3", F.explode(F.array(pair, quad)).alias("gram"))
+    head = F.array(F.struct(*(F.lit(None).cast("string").alias(f"w{i}") for i in range(QUAD))))  # at place 0, for the text itself
+    grams = rows.select("row", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(head, F.arrays_zip(*(c.alias(f"w{i}") for i, c in enumerate(shifted))))).alias("at", "w"))
+    grams = grams.select("row", "n_words", (F.col("at") - 1).alias("at"), "w.*").toDF("row", "n_words", "at", *(f"w{i}" for i in range(QUAD)))
+    pair, quad = F.xxhash64("w0", "w1"), F.xxhash64("w0", "w1", "w2", "w3")
+    both = F.when(F.col("w3").isNotNull(), F.array(pair, quad)).when(F.col("w1").isNotNull(), F.array(pair)).when(F.col("at") < 0, F.array(F.lit(None).cast("long")))
+    hashed = grams.select("*", F.explode(both).alias("_gram"))
     same = (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("t2").isNull() | (F.col("w2") == F.col("t2")) & (F.col("w3") == F.col("t3")))
-    hits = hashed.join(F.broadcast(templates(spark, base, sentences)), "gram").where(same)
-    votes = hits.groupBy("row", "template", "label", "is_base", "grams", (F.col("at") - F.col("place")).alias("diagonal"))
-    votes = votes.agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"), F.min("at").alias("start"), (F.max("at") + QUAD).alias("stop"))
+    hits = hashed.join(F.broadcast(templates(spark, base, sentences)), (F.col("_gram") == F.col("gram")) & same, "left").where("at < 0 OR template IS NOT NULL")
+    hits = written(hits.select("row", "n_words", "at", "template", "label", "is_base", "grams", "place"), "votes")
 
-    exact = votes.where("is_base AND n = grams").groupBy("row").agg(
+    votes = hits.where("at >= 0").groupBy("row", "template", "label", "is_base", "grams", (F.col("at") - F.col("place")).alias("diagonal"))
+    votes = votes.agg(F.collect_set("place").alias("places"), F.min("at").alias("start"), (F.max("at") + QUAD).alias("stop"))  # no more places than the template has
+    exact = votes.where("is_base AND size(places) = grams").groupBy("row").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base_found"))
     one = Window.partitionBy("row", "template").orderBy("diagonal")
     runs = votes.where("NOT is_base").withColumn("opens", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(one), F.lit(SLACK + 1)) > SLACK).cast("int"))
-    runs = runs.withColumn("run", F.sum("opens").over(one)).groupBy("row", "template", "label", "grams", "run").agg(F.bit_or("places").alias("places"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-    runs = runs.withColumn("covered", F.bit_count("places") / F.col("grams")).where(F.col("covered") >= COVERED)
+    runs = runs.withColumn("run", F.sum("opens").over(one)).withColumn("place", F.explode("places"))
+    runs = runs.groupBy("row", "template", "label", "grams", "run").agg(F.collect_set("place").alias("places"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    runs = runs.withColumn("covered", F.size("places") / F.col("grams")).where(F.col("covered") >= COVERED)
     near = _without_siblings(runs).groupBy("row").agg(F.collect_set("label").alias("near_found"), F.max("covered").alias("covered"))
 
     none = F.array().cast("array<string>")
-    found = rows.select("row", key, F.size("words").cast("long").alias("n_words")).join(exact, "row", "left").join(near, "row", "left")
+    found = hits.where("at < 0").select("row", F.col("row.key").alias(key), "n_words").join(exact, "row", "left").join(near, "row", "left")
     base_found = F.coalesce("base_found", none)
     return found.select(
         key, "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.array_join(base_found, ",").alias("base_labels"),
