@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, byte_units, chat, decontaminate, html_text, ngram_join, quality, token_output
 from palimpsest.llm.common import shingles
@@ -108,7 +109,37 @@ def test_quality_is_calibrated_to_the_odds_of_all_labels(spark, docs, sf):
     assert few == pytest.approx(odds / (1 + odds)) == most
     rows = [(f"{w} {i} " * 40, y) for i in range(40) for w, y in (("alpha beta", 1), ("zzz", 0))]
     even, fewer_bad = quality.fit_texts(rows), quality.fit_texts(rows, sampled=(1.0, 0.25))
-    assert fewer_bad.weights[0] - even.weights[0] == pytest.approx(np.log(4)) and fewer_bad.weights[1:] == even.weights[1:]
+    assert fewer_bad.offset - even.offset == pytest.approx(np.log(4)) and fewer_bad.slope == even.slope
+
+
+def test_scores_equal_brute_force(spark, docs, sf):
+    """The dictionaries hold a part of every second labelled text, and a score is one curve over one size difference."""
+    import zstandard
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = texts_of(docs)
+    kinds = {k: [rows[i] for i in sorted(rows) if labels.get(i) == k and rows[i]] for k in (0, 1)}
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    packers = {}
+    for k, data in ((0, model.bad), (1, model.good)):
+        share = 112_640 // len(kinds[k][::2]) - 1
+        assert data == b"\n".join((b := t[max(0, (len(t) - 32768) // 2) :][:32768].encode())[max(0, (len(b) - share) // 2) :][:share] for t in kinds[k][::2])
+        packers[k] = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def difference(t):
+        data, sums, n = t.encode(), {0: 0, 1: 0}, 0
+        for i in range(0, len(data) or 1, 1024):
+            n += len(data[i : i + 1024]) + 16
+            for k, p in packers.items():
+                sums[k] += len(p.compress(data[i : i + 1024]))
+        return (sums[0] - sums[1]) / n
+
+    used = [(difference(t), k) for k in (0, 1) for t in kinds[k][1::2]]
+    loss = lambda a, b: sum(np.logaddexp(0, -(a + b * x) * (2 * y - 1)) for x, y in used)
+    best = loss(model.offset, model.slope)
+    assert all(loss(model.offset + da, model.slope * (1 + db)) > best - 0.01 for da in (-0.1, 0, 0.1) for db in (-0.1, 0, 0.1))
+    for r in quality.score(docs, model).collect():
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.offset + model.slope * difference(rows[r.doc_id])))), abs=1e-6)
 
 
 def test_quality_without_labels(spark):
@@ -293,6 +324,10 @@ def test_license_scan(spark):
     assert (got[4].n_base, got[4].first_word, got[4].base_labels) == (1, 3, "cc-by") and got[5].n_base == 0 == got[6].n_base
     assert got[12].n_words == 0 and got[16].n_words == 60_000 and len(got) == len(rows)
     assert scan(table(spark, ODD)).count() == len(ODD) and scan(table(spark, [])).count() == 0
+    twice = scan(table(spark, [(1, "gnu general public license " + mit)] * 3 + [(1, "mit license")]).repartition(3)).collect()
+    assert sorted((r.n_base, r.labels) for r in twice) == [(1, "gpl,mit")] * 3 + [(1, "mit")]
+    long = " ".join(f"w{i}" for i in range(300))
+    assert [r.labels for r in scan(table(spark, [(1, f"a {long} b")]), {}, {long: "long"}).collect()] == ["long"]
 
 
 def test_sibling_licenses(spark):
@@ -330,8 +365,10 @@ def test_leaks(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_leaks(table(spark, rows), benchmark)
     assert {(x.doc_id, x.item_id) for x in got.collect()} == want | {(500, 90)}
-    split = decontaminate.find_leaks(table(spark, rows), benchmark, block_bytes=2000)
+    split = decontaminate.find_leaks(table(spark, rows), benchmark.withColumns({"doc_id": F.lit(1), "similarity": F.lit("z")}), block_bytes=2000)
     assert {tuple(x) for x in split.collect()} == {tuple(x) for x in got.collect()}
+    split = decontaminate.without_leaks(table(spark, rows), benchmark, block_items=20)
+    assert {x.doc_id for x in split.collect()} == {i for i, _ in rows} - {i for i, _ in want} - {500}
     assert {x.doc_id for x in decontaminate.without_leaks(table(spark, rows), benchmark).collect()} == {i for i, _ in rows} - {i for i, _ in want} - {500}
     assert decontaminate.find_leaks(table(spark, ODD), benchmark).count() == 0 == decontaminate.find_leaks(table(spark, []), benchmark).count()
     assert decontaminate.without_leaks(table(spark, ODD), benchmark.limit(0)).count() == len(ODD)
@@ -344,7 +381,7 @@ def test_windows_equal_brute_force():
     words = text.split()
     own = [" ".join(words[a : a + 30]) for a in (10, 200, 333)]
     own[1] = own[1].replace("w3", "w4", 1)
-    index = decontaminate.Items(list(range(3)), own, 0.8, 20, 5)
+    index = decontaminate.Items(list(range(3)), own, 0.8, 31, 5)
     got = {f[0]: f[4] for f in index.search(text)}
     hashes = decontaminate._words.of(text)
     for i, x in enumerate(own):
@@ -353,6 +390,54 @@ def test_windows_equal_brute_force():
         assert (best >= 0.8 and got[i] == pytest.approx(best)) or (best < 0.8 and i not in got)
 
 
+def test_recall_and_pass_rate_of_the_index():
+    """Windows edited to a similarity of 0.8 and more are within the radius; the blocks let few random pairs pass."""
+    r = np.random.default_rng(11)
+    items = [r.integers(1, 1 << 63, n, dtype=np.uint64) for n in (46, 96, 196) for _ in range(40)]
+    for low, least in ((0.8, 0.985), (0.9, 0.999), (0.95, 1.0)):
+        found = []
+        for own in items:
+            changed = int(len(own) * (1 - low) / (1 + low))  # of n shingles in both windows: (n - c) / (n + c) stay common
+            for _ in range(10):
+                other = own.copy()
+                other[r.choice(len(own), changed, replace=False)] = r.integers(1, 1 << 63, changed, dtype=np.uint64)
+                a, b = (decontaminate.packed(decontaminate.signs(x).sum(axis=0, keepdims=True)) for x in (own, other))
+                found.append(decontaminate.distances(a, b)[0] <= 31)
+        assert np.mean(found) >= least
+    texts = [" ".join(f"w{r.integers(1 << 40)}" for _ in range(50)) for _ in range(64)]
+    index = decontaminate.Items(list(range(64)), texts, 0.8, 31, 5)
+    prints = r.integers(0, 1 << 16, (2000, 8), dtype=np.uint16)
+    rows, own, columns = index.groups[5]["lengths"][46]
+    passed = np.bitwise_or.reduce([index.near[b, prints[:, b], columns] for b in range(8)])
+    assert np.unpackbits(passed, axis=1, count=64).mean() < 0.1 and len(own) == 64
+    near = own.copy()  # every fingerprint within the radius is found
+    for row in near:
+        for bit in r.choice(128, 31, replace=False):
+            row[bit // 16] ^= np.uint16(1 << (bit % 16))
+    assert {(a, b) for a, b, _ in zip(*index.candidates(near, (rows, own, columns)))} >= {(i, i) for i in range(64)}
+
+
+def test_leaks_query(spark, sf, docs):
+    """Against all windows of all documents, by plain counting."""
+    rows, items = texts_of(docs), {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    words = lambda t: [w for w in (x.strip(decontaminate.ENDS).lower() for x in t.split()) if w]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(0, len(w) - 4))]
+    wanted, of = {i: collections.Counter(grams(words(t))) for i, t in items.items()}, collections.defaultdict(set)
+    for i, c in wanted.items():
+        for g in c:
+            of[g].add(i)
+    want = {}
+    for d, t in rows.items():
+        own = grams(words(t))
+        for i in set().union(*(of[g] for g in own if g in of)):
+            n = sum(wanted[i].values())
+            best = max(decontaminate.weighted_similarity(collections.Counter(own[a : a + n]), wanted[i]) for a in range(max(1, len(own) - n + 1)))
+            if best >= 0.8:
+                want[d, i] = best
+    got = {(r.doc_id, r.item_id): r.similarity for r in QUERIES["op8_decontamination"](spark, sf).collect()}
+    assert got == pytest.approx(want) and got
+
+
 # 10
 
 
@@ -400,6 +485,21 @@ def test_dense_siblings_of_an_article(page, want):
     assert html_text.main_text(page).split("\n") == want
 
 
+def test_density_alone_finds_the_text(spark, sf):
+    """Pages whose articles are called div give the same text, but for those whose article is hardly longer than its title."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page in pages:
+        want = html_text.main_text(page)
+        if len(want) > 200:
+            assert html_text.main_text(page.replace("<article", "<div").replace("</article", "</div")) == want
+
+
+def test_long_page():
+    body = "".join(f"<p>Sentence {i} of a long page, with words enough.</p>" for i in range(20_000))
+    want = "\n".join(f"Sentence {i} of a long page, with words enough." for i in range(20_000))
+    assert html_text.main_text(f"<body><nav>{'<a href=x>y</a>' * 9}</nav><div>{body}</div>") == want
+
+
 def test_pages(spark, sf):
     import html
     import re
@@ -409,7 +509,7 @@ def test_pages(spark, sf):
         article = re.sub(r"</?(?:b|a|i)>|<br>", "", re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1])
         blocks = [" ".join(html.unescape(b).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
-    odd = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x", "t"), (1, None, None, "t")], "page_id long, url string, html string, text string")
+    odd = spark.createDataFrame([(1, None, None, "t", 0), (None, "u", "<p>x", "t", 0), (1, None, None, "t", 0)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted(r.text for r in html_text.extract_text(odd).collect()) == ["", "", "x"] and html_text.extract_text(odd.limit(0)).count() == 0
 
 
