@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 from palimpsest.functions.digests import entropy_of
 
 WINDOW, PRIME = 48, 65521
+#: Windows whose checksums are computed at once.
+STEP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -37,24 +39,31 @@ class Tttd:
         b[b == 0] = PRIME  # that residue stays at the modulus
         return (b << 16) | a
 
-    def cuts(self, data: bytes) -> Iterator[int]:
-        """Ends of the chunks, in order."""
-        n = len(data)
-        x = np.frombuffer(data, np.uint8).astype(np.int64)
-        highs = lows = np.empty(0, np.int64)
-        if n >= self.least + WINDOW:
-            at = np.arange(n, dtype=np.int64)
-            sums, moments = (np.concatenate([[0], np.cumsum(v)]) for v in (x, at * x))
+    def _hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of full windows whose checksum leaves high - 1 or low - 1; some MB of the bytes in hand at once."""
+        found = [], []
+        for first in range(0, len(x) - WINDOW + 1, STEP):
+            part = x[first : first + STEP + WINDOW - 1].astype(np.int64)
+            at = np.arange(len(part), dtype=np.int64)
+            sums, moments = (np.concatenate([[0], np.cumsum(v)]) for v in (part, at * part))
             s, m = sums[WINDOW:] - sums[:-WINDOW], moments[WINDOW:] - moments[:-WINDOW]
             ends = at[WINDOW - 1 :]
             full = self._values(1 + s, WINDOW + (ends + 1) * s - m)
-            highs, lows = (ends[full % d == d - 1] for d in (self.high, self.low))
+            for own, d in zip(found, (self.high, self.low)):
+                own.append(ends[full % d == d - 1] + first)
+        return tuple(np.concatenate([np.empty(0, np.int64), *own]) for own in found)
+
+    def cuts(self, data: bytes) -> Iterator[int]:
+        """Ends of the chunks, in order."""
+        n = len(data)
+        x = np.frombuffer(data, np.uint8)
+        highs, lows = self._hits(x if n >= self.least + WINDOW else x[:0])
         start = 0
         while start < n:
             end = min(n, start + self.most)
             if end - start > self.least:
                 first = start + self.least
-                short = x[first : min(end, first + WINDOW - 1)]
+                short = x[first : min(end, first + WINDOW - 1)].astype(np.int64)
                 a = np.cumsum(short)
                 values = self._values(1 + a, np.arange(1, len(short) + 1) + np.cumsum(a))
                 end = self._end(first, end, values, highs, lows)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import paths
-from palimpsest.functions.digests import entropy
 from palimpsest.operators.chunking import chunk_rows
 from palimpsest.operators.dedup import first_occurrences, unknown
 from palimpsest.operators.diff import changed_files
@@ -26,11 +25,12 @@ def with_parents(files: DataFrame) -> DataFrame:
     return files.unionByName(wanted.select(*blank))
 
 
-def backup(store: Store, files: DataFrame, exclude: list[Rule] = (), include: list[Rule] = (), codec: str = "zlib", threshold: float = 1.0, most: int = MOST, buckets: int = 1, created_at=None, chunker: str = "TTTD", **options) -> int | None:
+def backup(store: Store, files: DataFrame, exclude: list[Rule] = (), include: list[Rule] = (), codec: str = "zlib", threshold: float = 1.0, most: int = MOST, buckets: int = 16, created_at=None, chunker: str = "TTTD", **options) -> int | None:
     """Adds a revision and returns its number, or None if nothing differs from the last one.
 
     files: rows of palimpsest.schemas.FILES, unique by path. threshold: chunks of a higher entropy are stored uncompressed.
-    buckets: independent packing streams; more of them pack in parallel, into other containers.
+    buckets: independent packing streams, by path; more of them pack in parallel, into other containers. What is packed where
+    is told from sizes alone; bytes move to the task that chunks their file, to their chunk's number, and to their container.
     """
     revision = store.last_revision() + 1
     warnings = files.where(~F.col("type").isin(*REGULAR)).select(F.lit("skip").alias("action"), "path", F.concat(F.lit("not a regular file: "), "type").alias("message"))
@@ -45,17 +45,18 @@ def backup(store: Store, files: DataFrame, exclude: list[Rule] = (), include: li
 
     changed = tree.where("is_changed AND meta.type = 'file'").select("path")
     contents = rows.where("type = 'file'").select("path", "content").join(changed, "path", "left_semi")
-    chunks = scratch(chunk_rows(contents, chunker=chunker, **options), "chunks")
-    new = unknown(first_occurrences(chunks.select("sha1", "path", "pos", "size")), store.read("chunks"))
+    chunks = scratch(chunk_rows(contents, chunker=chunker, with_entropy=threshold < 1, **options), "chunks")
+    rest = ["size", *["entropy"] * (threshold < 1)]
+    new = unknown(first_occurrences(chunks.select("sha1", "path", "pos", *rest)), store.read("chunks"))
     last = store.read("chunks").agg(F.max("chunk_id")).first()[0] or 0
     new = scratch(numbered(new, ["path", "pos"], "chunk_id", last + 1), "new")
 
-    data = chunks.drop("offset").join(new.select("path", "pos", "chunk_id"), ["path", "pos"])
-    stream = route(entropy(F.col("data")), threshold) if threshold < 1 else F.lit("comp")
-    placed = next_fit(data.withColumns({"stream": stream, "bucket": F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")}), ["path", "pos"], most, ["stream", "bucket"])
+    stream = route(F.col("entropy"), threshold) if threshold < 1 else F.lit("comp")
+    placed = next_fit(new.withColumns({"stream": stream, "bucket": F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")}), ["path", "pos"], most, ["stream", "bucket"])
     placed = scratch(placed, "placed")
     base = store.read("containers").agg(F.max("container_id")).first()[0] or 0
-    built = scratch(build_containers(placed, {"comp": codec, "store": "none"}, most), "built")
+    data = chunks.select("path", "pos", "data").join(placed.select("path", "pos", "sha1", "stream", "bucket", "container", "offset"), ["path", "pos"])
+    built = scratch(build_containers(data, {"comp": codec, "store": "none"}, most), "built")
     key = ["stream", "bucket", "container"]
     numbers = scratch(numbered(built.select(*key), key, "container_id", base + 1), "numbers")
     store.append("containers", built.join(numbers, key), revision)

@@ -40,10 +40,11 @@ def ranked(plan: DataFrame) -> DataFrame:
     return numbered(plan, [F.desc("ratio"), F.desc("container_id")], "rank")
 
 
-def purge(store: Store, upto: int, strategy: str | float = "slow", most: int = MOST, codec: str = "zlib") -> dict[str, int]:
+def purge(store: Store, upto: int, strategy: str | float = "slow", most: int = MOST, codec: str = "zlib", buckets: int = 16) -> dict[str, int]:
     """Drops revisions <= upto; the others are numbered from 1. strategy: slow, fast, or the ratio above which to repack.
 
-    Everything is written as a new generation; the pointer moves last, so a purge that fails changes nothing.
+    Everything is written as a new generation, one job for each relation; the pointer moves last, so a purge that fails changes
+    nothing. buckets: independent streams that half-dead containers are packed into.
     """
     threshold = STRATEGIES[strategy] if isinstance(strategy, str) else float(strategy)
     last = store.last_revision()
@@ -63,7 +64,7 @@ def purge(store: Store, upto: int, strategy: str | float = "slow", most: int = M
     if not (bad := data.where("error IS NOT NULL").limit(1).collect()) == []:
         raise ValueError(f"container {bad[0]['container_id']}: {bad[0]['error']}")
     streams = repacked.select("container_id", F.when(F.split_part("filter", F.lit(":"), F.lit(2)) == "none", "store").otherwise("comp").alias("stream"))
-    moving = owners.join(data.select("container_id", "offset", "sha1", "data"), ["container_id", "sha1"]).join(streams, "container_id").withColumn("bucket", F.lit(0)).withColumnRenamed("offset", "was_at")
+    moving = owners.join(data.select("container_id", "offset", "sha1", "data"), ["container_id", "sha1"]).join(streams, "container_id").withColumn("bucket", F.pmod(F.xxhash64("container_id"), F.lit(buckets)).cast("int")).withColumnRenamed("offset", "was_at")
     placed = scratch(next_fit(moving, ["container_id", "was_at"], most, ["stream", "bucket"]), "placed")
     key = ["stream", "bucket", "container"]
     built = scratch(build_containers(placed, {"comp": codec, "store": "none"}, most), "built")
@@ -76,16 +77,13 @@ def purge(store: Store, upto: int, strategy: str | float = "slow", most: int = M
     keep_chunks = owners.join(moved, "chunk_id", "left").withColumn("container_id", F.coalesce("new_id", "container_id")).withColumn("revision", shift(F.col("revision")))
     lists = store.read("file_tree").where(F.col("revision") > upto).select("list_id").distinct()
     keep_lists = store.read("chunk_lists").join(lists, "list_id", "left_semi").withColumn("revision", shift(F.col("revision")))
-    for r in range(1, last - upto + 1):
-        now = F.col("revision") == r
-        store.append("chunks", keep_chunks.where(now), r, generation)
-        store.append("chunk_lists", keep_lists.where(now), r, generation)
-        store.append("containers", keep_containers.where(now), r, generation)
-        if r == 1:
-            store.append("containers", built.join(numbers, key).withColumnRenamed("new_id", "container_id"), r, generation)
-        for name in ("file_tree", "revision_stats", "warnings"):
-            store.append(name, store.read(name).where(F.col("revision") == r + upto), r, generation)
-        store.commit(r, store.revisions().where(F.col("revision") == r + upto).first()["created_at"], generation)
+    new_containers = built.join(numbers, key).withColumnRenamed("new_id", "container_id").withColumn("revision", F.lit(1))
+    names = keep_containers.columns
+    store.append("chunks", keep_chunks, None, generation)
+    store.append("chunk_lists", keep_lists, None, generation)
+    store.append("containers", keep_containers.select(*names).union(new_containers.select(*names)), None, generation)
+    for name in ("file_tree", "revision_stats", "warnings", "revisions"):  # the last one commits
+        store.append(name, store.read(name).where(F.col("revision") > upto).withColumn("revision", F.col("revision") - upto), None, generation)
     found = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
     store._point(generation)
     return {k: found.get(k, 0) for k in ("drop", "repack", "keep")}

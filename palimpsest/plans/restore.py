@@ -49,19 +49,27 @@ def assemble(parts: DataFrame) -> DataFrame:
 
 
 def restore(store: Store, revision: int) -> DataFrame:
-    """path, meta, content, error of all items, folders first. Empty files have empty content; other items none."""
+    """path, meta, content, error of all items, in no order. Empty files have empty content; other items none."""
     tree = store.tree(revision)
     made = assemble(chunk_data(store, chunk_refs(store, tree)))
     out = tree.select("path", "meta").join(made, "path", "left")
     content = F.when((F.col("meta.type") == "file") & F.col("error").isNull(), F.coalesce("content", F.unhex(F.lit(""))))
-    return out.select("path", "meta", content.alias("content"), "error").orderBy((F.col("meta.type") != "dir"), "path")
+    return out.select("path", "meta", content.alias("content"), "error")
+
+
+def _file(store: Store, path: str, revision: int) -> DataFrame:
+    return store.tree(revision).where((F.col("path") == path) & (F.col("meta.type") == "file"))
+
+
+def _whole(item: DataFrame, made: DataFrame) -> DataFrame:
+    """A row for each item: content is empty where nothing was made, and NULL beside an error."""
+    return item.select("path").join(made, "path", "left").select("path", F.when(F.col("error").isNull(), F.coalesce("content", F.unhex(F.lit("")))).alias("content"), "error")
 
 
 def cat(store: Store, path: str, revision: int) -> DataFrame:
     """content of one regular file; no row where there is no such file."""
-    item = store.tree(revision).where((F.col("path") == path) & (F.col("meta.type") == "file"))
-    made = assemble(chunk_data(store, chunk_refs(store, item)))
-    return item.select("path").join(made, "path", "left").select("path", F.when(F.col("error").isNull(), F.coalesce("content", F.unhex(F.lit("")))).alias("content"), "error")
+    item = _file(store, path, revision)
+    return _whole(item, assemble(chunk_data(store, chunk_refs(store, item))))
 
 
 def overlapping(refs: DataFrame, start: int, length: int, group: str | list[str] = "path", order: str = "pos") -> DataFrame:
@@ -76,8 +84,11 @@ def overlapping(refs: DataFrame, start: int, length: int, group: str | list[str]
 
 
 def read_range(store: Store, path: str, revision: int, start: int, length: int) -> DataFrame:
-    """content of a byte range; chunks outside of it are not fetched."""
-    item = store.tree(revision).where(F.col("path") == path)
+    """content of a byte range of one regular file, as much of it as the file has; no row where there is no such file.
+
+    Chunks outside of the range are not fetched.
+    """
+    item = _file(store, path, revision)
     wanted = overlapping(chunk_refs(store, item), start, length)
     parts = chunk_data(store, wanted).withColumn("data", F.substring(F.col("data"), (F.col("skip") + 1).cast("int"), F.col("take").cast("int")))
-    return assemble(parts)
+    return _whole(item, assemble(parts))

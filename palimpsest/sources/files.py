@@ -1,7 +1,8 @@
 """Files of a folder tree as rows.
 
 `read_files` is Spark's distributed binary reader. The `filetree` data source also has what only lstat knows (links,
-owners, modes), for trees that every executor mounts; it makes one partition per top-level entry.
+owners, modes), for trees that every executor mounts; folders are opened until there are enough
+entries to deal out over `partitions` (64) tasks.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return rows.select("path", paths.name(F.col("path")).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
-class _Top(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+class _Part(InputPartition):
+    """Entries below the root: `deep` ones with all that they hold, `bare` ones by themselves."""
+
+    def __init__(self, deep: list[str], bare: list[str]):
+        self.deep, self.bare = deep, bare
 
 
 class _TreeReader(DataSourceReader):
@@ -37,26 +40,48 @@ class _TreeReader(DataSourceReader):
         self.root = options["path"].rstrip("/") or "/"
         self.hidden = options.get("hidden", "true").lower() == "true"
         self.content = options.get("content", "true").lower() == "true"
+        self.parts = int(options.get("partitions", "64"))
+
+    def _below(self, relative: str) -> list[str]:
+        names = sorted(os.listdir(os.path.join(self.root, relative)))
+        return [f"{relative}/{n}" if relative else n for n in names if self.hidden or not n.startswith(".")]
+
+    def _is_folder(self, relative: str) -> bool:
+        full = os.path.join(self.root, relative)
+        return os.path.isdir(full) and not os.path.islink(full)
 
     def partitions(self):
-        return [_Top(n) for n in sorted(os.listdir(self.root)) if self.hidden or not n.startswith(".")] or [_Top("")]
+        """Folders are opened, breadth first, until there are enough entries to deal out."""
+        opened, files, folders = [], [], deque([""])
+        while folders and len(files) + len(folders) < 4 * self.parts:
+            opened.append(x := folders.popleft())
+            for y in self._below(x):
+                (folders if self._is_folder(y) else files).append(y)
+        opened = opened[1:]  # without the root
+        parts = [_Part(list(folders)[i :: self.parts], (opened + files)[i :: self.parts]) for i in range(self.parts)]
+        return [p for p in parts if p.deep or p.bare] or [_Part([], [])]
 
     def read(self, partition):
         """Breadth first; links are rows and aren't followed."""
-        queue = deque([partition.name] if partition.name else [])
+        for relative in partition.bare:
+            yield self._row(relative)
+        queue = deque(partition.deep)
         while queue:
             relative = queue.popleft()
-            full = os.path.join(self.root, relative)
-            s = os.lstat(full)
-            kind = next((k for test, k in KINDS if test(s.st_mode)), "unknown")
-            if kind == "dir":
-                queue += [f"{relative}/{n}" for n in sorted(os.listdir(full)) if self.hidden or not n.startswith(".")]
-            data = None
-            if kind == "file" and self.content:
-                with open(full, "rb") as f:
-                    data = f.read()
-            t = lambda x: datetime.fromtimestamp(x, timezone.utc)
-            yield ("/" + relative, os.path.basename(relative), kind, s.st_size if kind == "file" else 0, s.st_mode, s.st_uid, s.st_gid, t(s.st_ctime), t(s.st_mtime), t(s.st_atime), os.readlink(full) if kind == "link" else None, data)
+            if self._is_folder(relative):
+                queue += self._below(relative)
+            yield self._row(relative)
+
+    def _row(self, relative: str) -> tuple:
+        full = os.path.join(self.root, relative)
+        s = os.lstat(full)
+        kind = next((k for test, k in KINDS if test(s.st_mode)), "unknown")
+        data = None
+        if kind == "file" and self.content:
+            with open(full, "rb") as f:
+                data = f.read()
+        t = lambda x: datetime.fromtimestamp(x, timezone.utc)
+        return ("/" + relative, os.path.basename(relative), kind, s.st_size if kind == "file" else 0, s.st_mode, s.st_uid, s.st_gid, t(s.st_ctime), t(s.st_mtime), t(s.st_atime), os.readlink(full) if kind == "link" else None, data)
 
 
 class FileTree(DataSource):

@@ -3,37 +3,89 @@
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _placed(folder: str, path: str) -> str:
+    """Where a path goes; one that would lead out of the folder is an error."""
+    target = os.path.normpath(os.path.join(folder, path.lstrip("/")))
+    if os.path.commonpath([folder, target]) != folder:
+        raise ValueError(f"{path} leads out of {folder}")
+    return target
+
+
+def _dress(target: str, meta: dict) -> None:
+    """Mode and times, and the owner where this user may set it. Links keep their mode."""
+    if os.geteuid() == 0 and meta["uid"] is not None and meta["gid"] is not None:
+        os.chown(target, meta["uid"], meta["gid"], follow_symlinks=False)
+    if meta["mode"] is not None and meta["type"] != "link":
+        os.chmod(target, meta["mode"] & 0o7777)
+    if meta["mtime"] is not None:
+        at = (meta["atime"] or meta["mtime"]).timestamp()
+        os.utime(target, (at, meta["mtime"].timestamp()), follow_symlinks=False)
+
+
 def write_folder(rows: DataFrame, folder: str, only: DataFrame | None = None) -> int:
-    """Writes (path, meta, content) below a folder that this machine mounts: folders first, then one file at a time.
+    """Writes (path, meta, content) below a folder that all executors mount, each task its own rows; returns how many.
 
-    only: (path, action) of a restore plan; rows whose action isn't `write` are left out. Returns how many were written.
+    only: (path, action) of a restore plan; rows whose action isn't `write` are left out, and what has the action
+    `delete` is removed. A file is replaced in one step. Folders get their mode and times last, deepest first, in one task.
+    Writing a row again gives the same file, so a task may run twice.
     """
+    folder = os.path.normpath(folder)
+    os.makedirs(folder, exist_ok=True)
     if only is not None:
         rows = rows.join(only.where("action = 'write'").select("path"), "path", "left_semi")
-    n = 0
-    for r in rows.orderBy(F.col("meta.type") != "dir", "path").toLocalIterator():
-        target = os.path.join(folder, r["path"].lstrip("/"))
-        if r["meta"]["type"] == "dir":
-            os.makedirs(target, exist_ok=True)
-        elif r["meta"]["type"] == "link":
-            if os.path.lexists(target):
-                os.remove(target)
-            os.symlink(r["meta"]["link_target"], target)
-        elif r["content"] is not None:
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.part", "wb") as f:
-                f.write(r["content"])
-            os.replace(f"{target}.part", target)
-            if r["meta"]["mode"] is not None:
-                os.chmod(target, r["meta"]["mode"] & 0o777)
-        else:
-            continue
-        n += 1
+
+    def write(batches):
+        for batch in batches:
+            n = 0
+            for r in batch.to_pylist():
+                target, meta = _placed(folder, r["path"]), r["meta"]
+                os.makedirs(target if meta["type"] == "dir" else os.path.dirname(target), exist_ok=True)
+                if meta["type"] == "link":
+                    if os.path.lexists(target):
+                        os.remove(target)
+                    os.symlink(meta["link_target"], target)
+                elif meta["type"] == "file" and r["content"] is not None:
+                    part = f"{target}.part-{uuid.uuid4().hex}"
+                    with open(part, "wb") as f:
+                        f.write(r["content"])
+                    os.replace(part, target)
+                elif meta["type"] != "dir":
+                    continue
+                if meta["type"] != "dir":
+                    _dress(target, meta)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    def dress(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                _dress(_placed(folder, r["path"]), r["meta"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    def remove(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                target = _placed(folder, path)
+                if os.path.isdir(target) and not os.path.islink(target):
+                    shutil.rmtree(target)
+                elif os.path.lexists(target):
+                    os.remove(target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    total = lambda df, f: df.mapInArrow(f, "n bigint").agg(F.sum("n")).first()[0] or 0
+    if only is not None:
+        total(only.where("action = 'delete'").select("path"), remove)
+    n = total(rows.select("path", "meta", "content"), write)
+    folders = rows.where("meta.type = 'dir'").select("path", "meta").coalesce(1).sortWithinPartitions(F.desc("path"))
+    total(folders, dress)
     return n
 
 

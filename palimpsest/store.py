@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.schemas import RELATIONS
+from palimpsest.sources.sinks import decrypted, encrypted
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """key: 16, 24 or 32 bytes; the containers of a store with one are encrypted, each with a nonce of its own."""
+
+    def __init__(self, spark: SparkSession, path: str, key: bytes | None = None):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
     def create(self) -> Store:
         """An empty store of generation 0."""
@@ -32,9 +35,16 @@ class Store:
     def _folder(self, relation: str, generation: int | None = None) -> str:
         return f"{self.path}/generation={self.generation if generation is None else generation}/{relation}"
 
-    def append(self, relation: str, rows: DataFrame, revision: int, generation: int | None = None) -> None:
-        names = [x.rsplit(" ", 1)[0] if not x.startswith("meta ") else "meta" for x in _columns(relation)]
-        rows.select(*(n for n in names if n != "revision")).write.mode("append").parquet(f"{self._folder(relation, generation)}/revision={revision}")
+    def append(self, relation: str, rows: DataFrame, revision: int | None, generation: int | None = None) -> None:
+        """Rows of one revision, or with None of those that their column `revision` says, in one job."""
+        names = [x.split()[0] for x in _columns(relation)]
+        if relation == "containers" and self.key:
+            rows = encrypted(rows, self.key)
+        folder = self._folder(relation, generation)
+        if revision is None:
+            rows.select(*names).write.mode("append").partitionBy("revision").parquet(folder)
+        else:
+            rows.select(*(n for n in names if n != "revision")).write.mode("append").parquet(f"{folder}/revision={revision}")
 
     def commit(self, revision: int, created_at=None, generation: int | None = None) -> None:
         t = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
@@ -43,7 +53,8 @@ class Store:
     def _all(self, relation: str) -> DataFrame:
         schema = RELATIONS[relation]
         try:
-            return self.spark.read.schema(schema).parquet(self._folder(relation))
+            rows = self.spark.read.schema(schema).parquet(self._folder(relation))
+            return decrypted(rows, self.key) if relation == "containers" and self.key else rows
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
