@@ -173,6 +173,11 @@ def replace_first(s: Column, pattern: str, new: str, times: int = 1) -> Column:
     return F.concat(done, rest)
 
 
+def captures(s: Column, pattern: str, groups: int) -> Column:
+    """struct(position, groups) of the first match; position -1 and empty groups where there is none. Group 0 is the match."""
+    return F.struct((F.regexp_instr(s, F.lit(pattern)) - 1).alias("position"), F.array(*(F.regexp_extract(s, pattern, g) for g in range(groups + 1))).alias("groups"))
+
+
 def code_point(s: Column) -> Column:
     """The first character's number."""
     return F.ascii(s)

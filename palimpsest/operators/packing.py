@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ids import numbered
 from palimpsest.schemas import CHUNK_HEADER
 
 MOST = 250 * 1024
@@ -25,6 +26,20 @@ def filter_argument(size: int, codec: str, cipher: str | None = None) -> str:
     return ":".join([str(size), codec, *([cipher] if cipher else [])])
 
 
+def container_name(digest: Column) -> Column:
+    """The file name that goes with a container's digest."""
+    return F.concat(F.hex(digest), F.lit(".#"))
+
+
+def interned(df: DataFrame, column: str, name: str = "filter_index") -> tuple[DataFrame, DataFrame]:
+    """df with a dense index (from 0, in order of value) instead of the column, and the dictionary (index, value).
+
+    Filters are few: a size and a codec each. Whatever their number, they are numbered without a global sort in one task.
+    """
+    words = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], name, 0)
+    return df.join(words, column, "left").drop(column), words
+
+
 def max_container_size(filters: Column) -> Column:
     return F.max(F.substring_index(filters, ":", 1).cast("int"))
 
@@ -70,6 +85,12 @@ def running_offset(df: DataFrame, group: str | list[str], order: str | list[str]
     return df.withColumn(name, F.coalesce(F.sum(F.col(size).cast("bigint") + header).over(w), F.lit(0).cast("bigint")))
 
 
+def moving_average(df: DataFrame, value: str, group: str | list[str], order: str | list[str], rows: int = 32, name: str = "average") -> DataFrame:
+    """The mean of the last `rows` values up to each row of its group."""
+    group, order = ([x] if isinstance(x, str) else x for x in (group, order))
+    return df.withColumn(name, F.avg(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(1 - rows, 0)))
+
+
 def encode(raw: bytes, codec: str) -> bytes:
     if codec == "none":
         return raw

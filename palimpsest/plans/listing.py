@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import meta, paths
 from palimpsest.functions.text import savings
+from palimpsest.operators.ids import scratch
 from palimpsest.store import Store
 
 
@@ -44,6 +45,57 @@ def lookup(store: Store, revision: int, path: str) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), "item_id").alias("x")).select("x.*")
 
 
+def full_paths(items: DataFrame, most_depth: int = 1000) -> DataFrame:
+    """id, path, depth of (id, parent, name): roots have no parent. One join for each level; items below no root are left out."""
+    level = scratch(items.where("parent IS NULL").select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth")), "level")
+    below = items.where("parent IS NOT NULL").select(F.col("id").alias("_id"), "parent", "name")
+    out = level
+    for _ in range(most_depth):
+        level = scratch(level.join(below, F.col("id") == F.col("parent")).select(F.col("_id").alias("id"), F.concat_ws("/", "path", "name").alias("path"), (F.col("depth") + 1).alias("depth")), "level")
+        if level.isEmpty():
+            return out
+        out = out.union(level)
+    raise RuntimeError(f"folders nested more than {most_depth} deep")
+
+
+def stat(store: Store, path: str) -> DataFrame:
+    """The item at /revision/path as a read-only file system shows it: name, type, mode, size, mtime; folders have mode 0555.
+
+    The root and each revision are folders; no row where there is nothing.
+    """
+    first, _, rest = path.strip("/").partition("/")
+    folder = [F.lit("dir").alias("type"), F.lit(0o040555).alias("mode"), F.lit(0).cast("bigint").alias("size")]
+    if not first:
+        return store.spark.range(1).select(F.lit("/").alias("name"), *folder, F.lit(None).cast("timestamp").alias("mtime"))
+    if not first.isdigit():
+        return stat(store, "/").limit(0)
+    if not rest:
+        return store.revisions().where(F.col("revision") == int(first)).select(F.lit(first).alias("name"), *folder, F.col("created_at").alias("mtime"))
+    m = F.col("meta")
+    mode = F.when(m["type"] == "dir", F.lit(0o040555)).otherwise(m["mode"].bitwiseAND(~0o222))
+    return lookup(store, int(first), f"/{rest}").select("name", m["type"].alias("type"), mode.alias("mode"), m["size"].alias("size"), m["mtime"].alias("mtime"))
+
+
+def read_dir(store: Store, path: str) -> DataFrame:
+    """Names below /revision/path, in order; the root holds the revisions."""
+    first, _, rest = path.strip("/").partition("/")
+    if not first:
+        return store.revisions().select(F.col("revision").cast("string").alias("name")).orderBy(F.col("name").cast("int"))
+    return list_dir(store, int(first), f"/{rest}" if rest else "").select("name")
+
+
+def read_link(store: Store, path: str) -> DataFrame:
+    """target of the link at /revision/path; no row where there is none."""
+    first, _, rest = path.strip("/").partition("/")
+    return lookup(store, int(first), f"/{rest}").where("meta.type = 'link'").select(F.col("meta.link_target").alias("target"))
+
+
+def file_system_size(store: Store, block: int = 512) -> DataFrame:
+    """blocks that the files of the last revision take, as statfs tells them."""
+    last = store.read("revision_stats").agg(F.max_by("total_bytes", "revision").alias("n"))
+    return last.select(F.call_function("div", F.col("n"), F.lit(block)).alias("blocks"))
+
+
 def dump(store: Store, revision: int) -> dict[str, DataFrame]:
     from palimpsest.schemas import RELATIONS
 
@@ -65,8 +117,6 @@ def resolve_links(tree: DataFrame, most_hops: int = 30) -> DataFrame:
         ended = hop.where("further IS NULL").select("path", "target", "hops")
         done = ended if done is None else done.unionByName(ended)
         now = hop.where("further IS NOT NULL").select("path", F.col("further").alias("target"), (F.col("hops") + 1).alias("hops"))
-        from palimpsest.operators.ids import scratch
-
         now = scratch(now, "links")
         if now.isEmpty():
             return done

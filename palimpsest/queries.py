@@ -44,7 +44,7 @@ c AS (SELECT source, sha1, count(*) AS n, min(size) AS one FROM kept GROUP BY AL
 SELECT source, CAST(sum(n) AS BIGINT) AS files, CAST(sum(n * one) AS BIGINT) AS bytes, count(*) AS unique_files, CAST(sum(one) AS BIGINT) AS unique_bytes,
 CAST(100 - (100 * sum(one)) // sum(n * one) AS BIGINT) AS saved_pct FROM c GROUP BY source""")
 def dedup_report(spark, sf_dir):
-    """What exact deduplication saves for each source, after exclude and include rules."""
+    """What exact deduplication saves for each source, after exclude and include rules."""
     files = rules.kept(_files(spark, sf_dir), rules.parse_rules("/src3/\nr/7$\n"), rules.parse_rules("/src3/1"))
     return dedup.storage_report(files.drop("text"), "source")
 
@@ -132,11 +132,11 @@ REFS_SQL = """refs AS (SELECT DISTINCT l_orderkey AS list_id, l_partkey * 1000 +
 chunks AS (SELECT chunk_id, min(d) AS d, CAST(strftime(min(d), '%Y%m%d') AS BIGINT) * 4 + chunk_id % 4 AS container_id FROM refs GROUP BY chunk_id)"""
 
 
-@query(f"WITH {REFS_SQL} SELECT c.container_id, count(*) AS refs, count(DISTINCT r.list_id) AS lists, count(DISTINCT r.chunk_id) AS chunks FROM refs r JOIN chunks c USING (chunk_id) WHERE r.revision <= 5 GROUP BY c.container_id")
+@query(f"WITH {REFS_SQL} SELECT c.container_id, count(*) AS refs, count(DISTINCT r.list_id) AS lists, count(DISTINCT r.chunk_id) AS chunks FROM refs r JOIN chunks c USING (chunk_id) GROUP BY c.container_id")
 def resolve_chunks(spark, sf_dir):
-    """Lists to chunks to containers."""
+    """Lists to chunks to containers."""
     refs = _refs(spark, sf_dir)
-    rows = refs.where("revision <= 5").join(_chunks(refs).select("chunk_id", "container_id"), "chunk_id")
+    rows = refs.join(_chunks(refs).select("chunk_id", "container_id"), "chunk_id")
     return rows.groupBy("container_id").agg(F.count("*").alias("refs"), F.countDistinct("list_id").alias("lists"), F.countDistinct("chunk_id").alias("chunks"))
 
 
@@ -252,7 +252,7 @@ CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS n, length(c_name) - le
 right(c_name, 3) AS last3, trim(c_name, 'Cr') AS trimmed, repeat(c_mktsegment, 2) AS twice, replace(c_name, 'Customer', 'C') AS short, reverse(c_name) AS back, octet_length(encode(c_name)) AS bytes, regexp_replace(c_name, '0+', '<0>') AS first_run,
 lower(c_name) = lower(upper(c_name)) AS same FROM customer""")
 def text_functions(spark, sf_dir):
-    """Searching, cutting, padding, trimming, replacing."""
+    """Searching, cutting, padding, trimming, replacing."""
     c = F.col("c_name")
     segment = F.col("c_mktsegment")
     return _table(spark, sf_dir, "customer").select(
@@ -266,7 +266,7 @@ def text_functions(spark, sf_dir):
 CASE WHEN b >= 86400000 THEN (b // 86400000) || 'day' WHEN b >= 3600000 THEN (b // 3600000) || 'hour' WHEN b >= 60000 THEN (b // 60000) || 'min' WHEN b >= 1000 THEN (b // 1000) || 'sec' ELSE b || 'ms' END AS took, CAST(100 - 100 * (b // 3) // b AS BIGINT) AS saved
 FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 13) AS BIGINT) AS b FROM orders)""")
 def legible(spark, sf_dir):
-    """Sizes and times for people, savings in percent."""
+    """Sizes and times for people, savings in percent."""
     b = F.floor(F.col("o_totalprice") * 13).cast("bigint")
     return _table(spark, sf_dir, "orders").select("o_orderkey", text.legible_size(b).alias("size"), text.legible_time(b).alias("took"), text.savings(b, F.call_function("div", b, F.lit(3))).alias("saved"))
 
@@ -283,7 +283,7 @@ def path_functions(spark, sf_dir):
 '-' || p[m // 64 % 8 + 1] || p[m // 8 % 8 + 1] || p[m % 8 + 1] || ' ' || rpad('1000:1000', 19, ' ') || ' ' || lpad(CAST(s AS VARCHAR), CAST(greatest(7, length(CAST(s AS VARCHAR))) AS INTEGER), ' ') || ' ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS line
 FROM (SELECT *, 32768 + o_orderkey % 512 AS m, CAST(floor(o_totalprice) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) AS t, ['---', '--x', '-w-', '-wx', 'r--', 'r-x', 'rw-', 'rwx'] AS p FROM orders)""")
 def metadata(spark, sf_dir):
-    """Metadata packed as text, parsed back, and printed."""
+    """Metadata packed as text, parsed back, and printed."""
     m, s, t = 32768 + F.col("o_orderkey") % 512, F.floor("o_totalprice").cast("bigint"), F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     lit = lambda n: F.lit(n).cast("bigint")
     stat = {"dev": lit(1), "ino": F.col("o_orderkey"), "mode": m, "size": s, "nlink": lit(1), "uid": lit(1000), "gid": lit(1000), "ctime": lit(0), "mtime": t, "atime": lit(0)}
@@ -303,23 +303,21 @@ def time_functions(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, sha1(text) AS s1, sha256(text) AS s256, md5(text) AS m, hex(encode(substr(text, 1, 40))) AS h, base64(encode(text)) AS b64, true AS b85 FROM documents")
+@query("SELECT doc_id, sha1(text) AS s1, sha256(text) AS s256, md5(text) AS m, hex(encode(text)) AS h, base64(encode(text)) AS b64, true AS b85 FROM documents")
 def digest_functions(spark, sf_dir):
     """Digests and encodings; base 85 by its inverse."""
     b = F.encode("text", "UTF-8")
-    return _table(spark, sf_dir, "documents").select("doc_id", digests.sha1(b).alias("s1"), digests.sha256(b).alias("s256"), F.md5(b).alias("m"), F.hex(F.encode(F.substring("text", 1, 40), "UTF-8")).alias("h"), F.translate(F.base64(b), "\r\n", "").alias("b64"), (digests.unbase85(digests.base85(b)) == b).alias("b85"))
+    return _table(spark, sf_dir, "documents").select("doc_id", digests.sha1(b).alias("s1"), digests.sha256(b).alias("s256"), F.md5(b).alias("m"), F.hex(b).alias("h"), F.translate(F.base64(b), "\r\n", "").alias("b64"), (digests.unbase85(digests.base85(b)) == b).alias("b85"))
 
 
 @query("""WITH RECURSIVE i AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
 p AS (SELECT id, '/' || name AS path, 1 AS depth FROM i WHERE parent IS NULL UNION ALL SELECT i.id, p.path || '/' || i.name, p.depth + 1 FROM i JOIN p ON i.parent = p.id) SELECT id, path, depth FROM p""")
 def tree_paths(spark, sf_dir):
-    """Full paths from a chain of parents, by a recursive query."""
+    """Full paths from a chain of parents, a join for each level."""
     s = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
     items = _table(spark, sf_dir, "region").select(s("r_regionkey", "r").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     items = items.union(_table(spark, sf_dir, "nation").select(s("n_nationkey", "n"), s("n_regionkey", "r"), "n_name")).union(_table(spark, sf_dir, "customer").select(s("c_custkey", "c"), s("c_nationkey", "n"), "c_name"))
-    items.createOrReplaceTempView("palimpsest_items")
-    return spark.sql("""WITH RECURSIVE p AS (SELECT id, concat('/', name) AS path, 1 AS depth FROM palimpsest_items WHERE parent IS NULL
-        UNION ALL SELECT i.id, concat(p.path, '/', i.name), p.depth + 1 FROM palimpsest_items i JOIN p ON i.parent = p.id) SELECT id, path, depth FROM p""")
+    return listing.full_paths(items)
 
 
 @query(f"WITH {FILES_SQL} SELECT regexp_replace(path, '/[^/]*$', '') AS folder, right(path, 1) AS suffix, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes, min(path) AS first_path FROM files GROUP BY ALL")
@@ -332,7 +330,7 @@ def entries_count(spark, sf_dir):
 @query("""SELECT page_id, len(a) AS n, a[3] AS host, CAST(coalesce(list_position(a, 'fr'), 0) - 1 AS BIGINT) AS at, list_contains(a, 'en') AS has, array_to_string(a[3:], '/') AS tail, array_to_string(list_reverse(a), '|') AS back, coalesce(a[99], '') AS beyond, coalesce(list_filter(a, lambda x: contains(x, 'page='))[1], '') AS looked_up, len(list_distinct(a)) AS different
 FROM (SELECT page_id, string_split(url, '/') AS a FROM pages)""")
 def array_functions(spark, sf_dir):
-    """String arrays."""
+    """String arrays."""
     a = F.col("a")
     return _table(spark, sf_dir, "pages").select("page_id", F.split("url", "/").alias("a")).select(
         "page_id", F.size(a).cast("bigint").alias("n"), F.try_element_at(a, F.lit(3)).alias("host"), (F.array_position(a, "fr") - 1).alias("at"), F.array_contains(a, "en").alias("has"), F.array_join(F.slice(a, F.lit(3), F.size(a)), "/").alias("tail"),
@@ -357,7 +355,7 @@ def filter_arguments(spark, sf_dir):
 
 @query(f"WITH {FILES_SQL} SELECT path, size, sha1, 2 AS revision FROM files WHERE doc_id % 5 <> 2 UNION ALL SELECT path, size, sha1, 1 FROM files WHERE doc_id % 5 <> 1")
 def store_round_trip(spark, sf_dir):
-    """Two backups into a store; what is restored is what was saved."""
+    """Two backups into a store; what is restored is what was saved."""
     from palimpsest.plans.restore import restore
 
     store = _kept_store(spark, sf_dir)
@@ -466,3 +464,6 @@ def store_relations(spark, sf_dir):
     found = refs.join(opened, ["container_id", "sha1"], "left")
     totals = found.agg(F.sum("size").cast("bigint").alias("bytes"), F.countDistinct("path").alias("files"), F.bool_and(F.lower(F.hex("sha1")) == F.col("again")).alias("all_found"))
     return totals.join(d["containers"].agg(F.bool_and(F.col("raw_size") <= packing.MOST).alias("no_larger")))  # two rows of totals
+
+
+from palimpsest import function_queries  # noqa: E402, F401  (registers the rest)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ids import scratch
+
 
 def _placed(folder: str, path: str) -> str:
     """Where a path goes; one that would lead out of the folder is an error."""
@@ -40,6 +42,7 @@ def write_folder(rows: DataFrame, folder: str, only: DataFrame | None = None) ->
     folder = os.path.normpath(folder)
     os.makedirs(folder, exist_ok=True)
     if only is not None:
+        only = scratch(only, "plan")  # it may have been made from what is in the folder now
         rows = rows.join(only.where("action = 'write'").select("path"), "path", "left_semi")
 
     def write(batches):

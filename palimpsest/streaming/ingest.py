@@ -33,6 +33,13 @@ def ingest(store: Store, files: DataFrame, checkpoint: str, **options) -> Stream
     return files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def new_contents(files: DataFrame, key: str = "sha1") -> DataFrame:
-    """The first row of each content. The state has no watermark, as a content once seen is never forgotten."""
-    return files.dropDuplicates([key])
+def new_contents(files: DataFrame, key: str = "sha1", time: str | None = None, within: str = "1 day") -> DataFrame:
+    """The first row of each content of a stream.
+
+    Without `time` a content once seen is never forgotten, and the state grows with the number of contents. With a time
+    column, contents are the same if they come `within` of each other; the state holds no more than that, and what a store
+    already has is told by `palimpsest.operators.dedup.unknown` when the batch is saved.
+    """
+    if time is None:
+        return files.dropDuplicates([key])
+    return files.withWatermark(time, within).dropDuplicatesWithinWatermark([key])

@@ -63,3 +63,12 @@ def test_metadata_text_is_invertible(spark):
 def test_permission_bits(spark):
     row = spark.range(1).select(meta.permission_text(F.lit(0o754)), meta.may(F.lit(0o640), F.lit(1), F.lit(2), 4, 9, 2), meta.may(F.lit(0o640), F.lit(1), F.lit(2), 2, 9, 2)).first()
     assert tuple(row) == ("rwxr-xr--", True, False)
+
+
+def test_base85_is_that_of_python(spark):
+    import base64
+    import random
+
+    rows = [random.Random(n).randbytes(n) for n in range(40)] + [None, b"\0" * 8, b"\xff" * 7]
+    df = spark.createDataFrame([(r,) for r in rows], "b binary").select("b", digests.base85(F.col("b")).alias("e")).select("b", "e", digests.unbase85(F.col("e")).alias("d"))
+    assert all((r.b is None and r.e is None and r.d is None) or (r.e == base64.b85encode(bytes(r.b)).decode() and bytes(r.d) == bytes(r.b)) for r in df.collect())

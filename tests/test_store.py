@@ -186,3 +186,86 @@ def test_codecs(codec):
     for raw in (b"", b"a" * 100_000, bytes(range(256)) * 9):
         blob = packing.encode(raw, codec)
         assert packing.decode(blob, codec) == raw and blob == packing.encode(raw, codec)
+
+
+@pytest.mark.parametrize(("start", "length"), [(0, 10), (0, 10**9), (199_990, 50), (399_990, 50), (10**9, 5), (5, 0)])
+def test_ranges(spark, tmp_path, start, length):
+    big = random.Random(2).randbytes(200_000)
+    s = Store(spark, str(tmp_path / "store")).create()
+    backup(s, spark.createDataFrame([row("/big", big + big), row("/empty", b""), row("/d", kind="dir")], FILES))
+    assert bytes(read_range(s, "/big", 1, start, length).first().content) == (big + big)[start : start + length]
+    assert bytes(read_range(s, "/empty", 1, start, length).first().content) == b""
+    assert read_range(s, "/d", 1, start, length).isEmpty() and read_range(s, "/none", 1, start, length).isEmpty()
+
+
+def test_encrypted_store(spark, tmp_path):
+    key, data = b"k" * 32, [row("/a", b"secret words " * 900), row("/b", b"secret words " * 901)]
+    s = Store(spark, str(tmp_path / "store"), key).create()
+    for r in (data[:1], data, data[1:]):
+        backup(s, spark.createDataFrame(r, FILES), codec="none")
+    for sealed in Store(spark, s.path).read("containers").collect():
+        assert b"secret" not in bytes(sealed.blob)
+    purge(s, 1)
+    assert contents(restore(s, 1)) == {r[0]: r[-1] for r in data} and contents(restore(s, 2)) == {"/b": data[1][-1]}
+    assert {r.content for r in restore(Store(spark, s.path, b"x" * 32), 2).where("path = '/b'").collect()} == {None}
+    assert [r.revision for r in s.revisions().orderBy("revision").collect()] == [1, 2]
+
+
+def test_purge_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "store")).create()
+    for k in range(3):
+        backup(s, spark.createDataFrame([row("/a", b"%d" % k * 5000, shift=k), row("/b", b"same" * 5000)], FILES))
+    monkeypatch.setattr(s, "_point", lambda generation: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        purge(s, 2)
+    again = Store(spark, s.path)
+    assert again.last_revision() == 3 and contents(restore(again, 1))["/a"] == b"0" * 5000
+
+
+def test_chunks_of_large_files_equal_the_definition(monkeypatch):
+    from palimpsest.operators import chunking
+
+    data = random.Random(9).randbytes(60_000)
+    want = list(Tttd().cuts(data))
+    for step in (1, 48, 1000, 59_000):
+        monkeypatch.setattr(chunking, "STEP", step) if step > 1 else None
+        assert list(Tttd().cuts(data)) == want
+
+
+def test_shell(spark, tmp_path, capsysbinary, monkeypatch):
+    from palimpsest.__main__ import main
+
+    monkeypatch.setenv("PALIMPSEST_PASSWORD", "p")
+    (tmp_path / "in/d").mkdir(parents=True)
+    (tmp_path / "in/d/f").write_bytes(b"one")
+    os.utime(tmp_path / "in/d/f", (1, 86400))
+    (tmp_path / "in/d/f").chmod(0o640)
+    store, vault = str(tmp_path / "store"), ["--vault", str(tmp_path / "keys")]
+    run = lambda *a: main([*vault, *map(str, a)], spark)
+    assert run("create", store) == 0 and run("backup", store, tmp_path / "in") == 0
+    (tmp_path / "in/new").write_bytes(b"two")
+    assert run("backup", store, tmp_path / "in") == 0
+    capsysbinary.readouterr()
+    assert run("cat", store, "/d/f", 1) == 0 and capsysbinary.readouterr().out == b"one" and run("cat", store, "/none", 1) == 1
+    assert run("restore", store, 2, tmp_path / "out") == 0 and (tmp_path / "out/new").read_bytes() == b"two"
+    f = (tmp_path / "out/d/f").stat()
+    assert f.st_mode & 0o777 == 0o640 and f.st_mtime == 86400
+    assert run("restore", store, 1, tmp_path / "out", "--delete") == 0 and not (tmp_path / "out/new").exists()
+    assert run("list", store) == 0 and run("files", store, 2) == 0 and run("purge", store, 1) == 0
+    assert b"/d/f" in capsysbinary.readouterr().out
+
+
+def test_paths_stay_in_the_folder(tmp_path):
+    from palimpsest.sources.sinks import _placed
+
+    with pytest.raises(ValueError):
+        _placed(str(tmp_path), "/../x")
+
+
+def test_stream_forgets_within_a_watermark(spark, tmp_path):
+    from palimpsest.streaming.ingest import new_contents
+
+    spark.createDataFrame([("a", T), ("a", T), ("b", T)], "sha1 string, at timestamp").write.parquet(str(tmp_path / "in"))
+    rows = new_contents(spark.readStream.schema("sha1 string, at timestamp").parquet(str(tmp_path / "in")), time="at")
+    rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(r.sha1 for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
