@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ids import scratch, shared_dir
+
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -39,27 +40,11 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else None
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: a table in the shared folder survives any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+written = scratch
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -95,16 +80,21 @@ class Remembered(dict):
 ENTRY, LONGEST = 200, 256
 
 
-class WordHashes(Remembered):
-    """Token -> 64-bit hash of its normal form; 0 stands for a token without a normal form."""
+class WordHashes(dict):
+    """Token -> 64-bit hash of its normal form, remembered up to a bound of bytes. 0 stands for a token without a normal form."""
 
     def __init__(self, normal, most_bytes: int = 96 << 20):
-        super().__init__(self.hashed, most_bytes)
-        self.normal = normal
+        super().__init__()
+        self.normal, self.most = normal, most_bytes // ENTRY  # a hash is as quickly made as looked up in an older table
 
-    def hashed(self, token: str) -> int:
+    def __missing__(self, token: str) -> int:
         word = self.normal(token)
-        return (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
+        value = (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
+        if len(token) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[token] = value
+        return value
 
     def of(self, text: str) -> np.ndarray:
         tokens = text.split()

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.byte_units import slices
 from palimpsest.llm.common import MIX, WordHashes, prepare, shingles, texts, written
-from palimpsest.llm.graph import components
+from palimpsest.llm.graph import components, hot_join
 
 ROWS, BANDS, STEP = 5, 32, 16
 HASHES = ROWS * BANDS
+#: Copies of a text that make its class a large one.
+HOT = 1000
 _rng = np.random.Generator(np.random.PCG64(20))
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -140,6 +142,9 @@ def _with_sets(size: int):
     return run
 
 
+LINKED = "copy_of long, digest binary, n_texts long, n_docs long, peer_of long, peer binary"
+
+
 def _compared(threshold: float, tolerance: float):
     """Sorted rows of (piece, block) -> for each class with links in a piece: counts and the piece's least linked class."""
 
@@ -161,19 +166,22 @@ def _compared(threshold: float, tolerance: float):
         for a, b in ((left, right), (right, left)):
             np.add.at(n_texts, a, 1)
             np.add.at(n_docs, a, copies[b])
-        names = [r["digest"] for r in rows]
-        rank = np.argsort(np.argsort(np.array([int.from_bytes(x, "big") for x in names], dtype=object)))
+        names = [(r["copy_of"], r["digest"]) for r in rows]
+        by_rank = sorted(range(len(rows)), key=lambda i: (names[i][0] is None, *names[i]))
+        rank = np.argsort(by_rank)
         label = rank.copy()
         while True:  # least rank over links
             new = label.copy()
             np.minimum.at(new, left, label[right])
             np.minimum.at(new, right, label[left])
-            new = np.minimum(new, new[np.argsort(rank)][new])
+            new = np.minimum(new, new[by_rank][new])
             if (new == label).all():
                 break
             label = new
-        by_rank = np.argsort(rank)
-        return [(names[i], int(n_texts[i]), int(n_docs[i]), names[by_rank[label[i]]]) for i in np.flatnonzero(n_texts)]
+        return [(*names[i], int(n_texts[i]), int(n_docs[i]), *names[by_rank[label[i]]]) for i in np.flatnonzero(n_texts)]
+
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = [x.split()[0] for x in LINKED.split(", ")]
 
     def run(batches):
         held: list[dict] = []
@@ -185,9 +193,9 @@ def _compared(threshold: float, tolerance: float):
                     held = []
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["digest", "n_texts", "n_docs", "peer"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
         if held and (out := piece(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["digest", "n_texts", "n_docs", "peer"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     return run
 
@@ -219,23 +227,31 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance
     members = near.join(classes.drop("bands"), near["node"] == classes["digest"]).select("digest", "root", "copy_of", F.col("n_copies").alias("copies"), "n_shingles")
     totals = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("total") / block_shingles)).cast("int")
-    members = members.join(totals.select("root", blocks.alias("blocks")), "root")
+    large = totals.select("root", blocks.alias("blocks")).where("blocks > 1")  # the few components that are more than one block
+    members = hot_join(members, large, "root", "digest").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
 
-    wanted = members.select(F.col("copy_of").alias("of"), "digest", "root", "blocks", "block", "copies")
-    found = docs.join(wanted, docs[key].eqNullSafe(wanted["of"])).select(text, "digest", "root", "blocks", "block", "copies")
-    sets = found.mapInArrow(_with_sets(size), "digest binary, root binary, blocks int, block int, copies long, values binary, signature binary")
+    wanted = members.select("copy_of", "digest", "root", "blocks", "block", "copies")
+    found = docs.join(wanted, docs[key].eqNullSafe(wanted["copy_of"])).select(text, "digest", "copy_of", "root", "blocks", "block", "copies")
+    sets = found.mapInArrow(_with_sets(size), "digest binary, copy_of long, root binary, blocks int, block int, copies long, values binary, signature binary")
     pieces = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pieces = pieces.select("digest", "root", "block", "copies", "values", "signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    pieces = pieces.select("digest", "copy_of", "root", "block", "copies", "values", "signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     pieces = pieces.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    linked = written(pieces.mapInArrow(_compared(threshold, tolerance), "digest binary, n_texts long, n_docs long, peer binary"), "linked")
+    linked = written(pieces.mapInArrow(_compared(threshold, tolerance), LINKED), "linked")
 
-    groups = components(linked.select(F.col("digest").alias("a"), F.col("peer").alias("b")))
+    # nodes in the order of their keys, null ones last, so that a component's root has the class id
+    node = lambda of, digest: F.struct(F.col(of).isNull().alias("none"), F.coalesce(of, F.lit(0)).alias("of"), F.col(digest).alias("digest"))
+    groups = components(linked.select(node("copy_of", "digest").alias("a"), node("peer_of", "peer").alias("b")))
+    groups = groups.select("node.digest", F.when(~F.col("root.none"), F.col("root.of")).alias("class_id"))
     counts = linked.groupBy("digest").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-    about = classes.select("digest", "copy_of", "n_copies").join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(counts, "digest", "left")
-    ids = about.where("root is not null").groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    about = about.join(ids, "root", "left").select("digest", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", "n_copies", (F.col("n_copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0).cast("long")).alias("n_text_links"))
-    return signed.select(key, "digest").join(about, "digest").select(key, "class_id", "copy_of", "n_copies", "n_links", "n_text_links")
+    about = classes.select("digest", "copy_of", "n_copies").join(groups, "digest", "left").join(counts, "digest", "left")
+    about = about.select("digest", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", "n_copies", (F.col("n_copies") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0).cast("long")).alias("n_text_links"))
+    about = written(about, "about")
+    names = ["class_id", "copy_of", "n_copies", "n_links", "n_text_links"]
+    # one class may hold a third of all rows: large ones are few, and are sent to many places
+    both = hot_join(signed.select(key, "digest"), about.where(F.col("n_copies") > HOT), "digest", key, F.spark_partition_id())
+    rest = both.where("n_copies IS NULL").select(key, "digest").join(about.where(F.col("n_copies") <= HOT), "digest")
+    return both.where("n_copies IS NOT NULL").select(key, *names).union(rest.select(key, *names))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -293,6 +293,29 @@ def test_links_of_near_copies(spark):
     assert kept == {min(own) for own in group.values()}
 
 
+def test_large_classes_are_dealt_apart(spark, monkeypatch):
+    rows = [(i, f"one two three four five six seven {i // 20}") for i in range(60)] + ODD
+    want = sorted(map(str, ngram_join.ngram_join(table(spark, rows)).collect()))
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    assert sorted(map(str, ngram_join.ngram_join(table(spark, rows)).collect())) == want and len(want) == len(rows)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=50))
+def test_components(spark, edges):
+    from palimpsest.llm.graph import components
+
+    edges += [(50, i) for i in range(60, 75)]  # a star
+    group = {x: {x} for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a != b and group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == {x: min(own) for x, own in group.items()} and len(got) == len(group)
+
+
 def test_join_of_odd_texts(spark):
     got = ngram_join.ngram_join(table(spark, ODD)).collect()
     assert len(got) == len(ODD)
