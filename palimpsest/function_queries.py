@@ -44,7 +44,7 @@ def folder_round_trip(spark, sf_dir):
     return rows.select("path", "name", "type", "size", kept.alias("permissions"), F.when(F.col("type") != "dir", F.unix_seconds("mtime")).alias("mtime"), "link_target", F.sha1("content").alias("sha1"))
 
 
-@query("""SELECT r_name || '/' || n_name || '.txt' AS path, n_name || '.txt' AS name, CAST(length(n_name) * n_nationkey * 100 AS BIGINT) AS size FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE '%A'""")
+@query("""SELECT r_name || '/' || n_name || '.txt' AS path, n_name || '.txt' AS name, CAST(length(n_name) * n_nationkey * 100 AS BIGINT) AS size FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE '%1'""")
 def binary_files(spark, sf_dir):
     """Spark's own reader over a written folder, by a name pattern."""
     from palimpsest.sources.files import read_files
@@ -52,7 +52,7 @@ def binary_files(spark, sf_dir):
 
     folder = scratch(spark.range(1), "folder").inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:") + "/tree"
     write_folder(_nations(spark, sf_dir), folder)
-    rows = read_files(spark, f"file://{folder}", "*A.txt")
+    rows = read_files(spark, f"file://{folder}", "*1.txt")
     return rows.select(F.replace(F.substring_index("path", "/", -2), F.lit("%20"), F.lit(" ")).alias("path"), F.replace(F.col("name"), F.lit("%20"), F.lit(" ")).alias("name"), "size")
 
 
