@@ -123,7 +123,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", output
     """key, n_tokens, ids_sha256, decoded_sha256 for each row; with outputs also ids (array<int>) and decoded.
 
     Narrow: nothing is shuffled, one text is in hand at a time. Null or empty text: no ids, empty decoding. Null keys,
-    ties and repeated rows stay as they are; other columns are ignored.
+    ties and repeated rows stay as they are; an empty table gives an empty result; other columns are ignored.
     """
     prepare(docs.sparkSession)
 

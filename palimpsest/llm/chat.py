@@ -124,8 +124,8 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
     its order is what is computed.
 
     A null text or role is empty, a null kind `message`; null conv_ids are one conversation; null seqs and messages
-    come first; equal sort keys are ordered by kind, role and text. Repeated rows are events of their own. Other columns
-    are ignored.
+    come first; equal sort keys are ordered by kind, role and text. Repeated rows are events of their own. An empty table
+    gives an empty result. Other columns are ignored.
     """
     prepare(events.sparkSession)
 

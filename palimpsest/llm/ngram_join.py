@@ -117,7 +117,7 @@ def _signed(size: int, key: str):
                     digests.append(digest(values))
                     counts.append(len(values))
                     bands.append(band_keys(minhash(values)) if len(values) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=[key, "digest", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)], names=[key, "digest", "n_shingles", "bands", "text_hash"])
 
     return run
 
@@ -213,9 +213,15 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance
     copies of each other. Repeated rows are documents of their own. An empty table gives an empty result. Other
     columns are ignored.
     """
+    return _joined(docs, threshold, size, tolerance, block_texts, block_shingles, key, text).drop("text_hash")
+
+
+def _joined(docs: DataFrame, threshold: float, size: int, tolerance: float = 1e-6, block_texts: int = 128, block_shingles: int = 400_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """ngram_join with a hash of each row's text, which tells rows of one key apart."""
     prepare(docs.sparkSession)
     docs = texts(docs, key, text)
-    signed = written(docs.mapInArrow(_signed(size, key), f"{key} long, digest binary, n_shingles long, bands array<bigint>"), "signed")
+    signed = docs.withColumn("text_hash", F.xxhash64(text)).mapInArrow(_signed(size, key), f"{key} long, digest binary, n_shingles long, bands array<bigint>, text_hash long")
+    signed = written(signed, "signed")
     classes = signed.groupBy("digest").agg(F.min(key).alias("copy_of"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
 
@@ -249,15 +255,17 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance
     about = written(about, "about")
     names = ["class_id", "copy_of", "n_copies", "n_links", "n_text_links"]
     # one class may hold a third of all rows: large ones are few, and are sent to many places
-    both = hot_join(signed.select(key, "digest"), about.where(F.col("n_copies") > HOT), "digest", key, F.spark_partition_id())
-    rest = both.where("n_copies IS NULL").select(key, "digest").join(about.where(F.col("n_copies") <= HOT), "digest")
-    return both.where("n_copies IS NOT NULL").select(key, *names).union(rest.select(key, *names))
+    both = hot_join(signed.select(key, "text_hash", "digest"), about.where(F.col("n_copies") > HOT), "digest", key, F.spark_partition_id())
+    rest = both.where("n_copies IS NULL").select(key, "text_hash", "digest").join(about.where(F.col("n_copies") <= HOT), "digest")
+    return both.where("n_copies IS NOT NULL").select(key, "text_hash", *names).union(rest.select(key, "text_hash", *names))
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stand for their class: those with the class's least key.
 
-    Rows that share that key and text are one. Documents of a null key stay only where their class has no other key.
+    Rows that share that key and text are one; of a class's rows of its least key with different texts, each text stays.
+    Documents of a null key stay only where their class has no other key. An empty table gives an empty result.
     """
-    kept = ngram_join(docs, threshold, size, key=key, text=text).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key, text])
+    kept = _joined(docs, threshold, size, key=key, text=text).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_kept"), F.col("text_hash").alias("_hash")).distinct()
+    own = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (own == F.col("_hash")), "left_semi").dropDuplicates([key, text])

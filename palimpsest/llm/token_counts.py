@@ -23,7 +23,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
 
     Texts are cut at safe boundaries and the distinct pieces encoded in batches balanced by bytes, so one very long
     text costs no more memory than its own pieces. Nothing is shuffled. Null text: empty, 0 tokens. Null keys,
-    repeated rows and ties stay as they are; other columns are ignored.
+    repeated rows and ties stay as they are; an empty table gives an empty result; other columns are ignored.
     """
     prepare(docs.sparkSession)
 

@@ -226,6 +226,7 @@ def test_counts_and_bpe(spark, sf, docs):
         lib = byte_units.load("word_bpe_49k.json")
         want = [(i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest()) for (i, _), x in zip(rows, plain_ids("word_bpe_49k.json", [t for _, t in rows]))]
         assert collections.Counter(map(tuple, bpe.encode_decode(source).collect())) == collections.Counter(want)
+    assert count_tokens(table(spark, [])).count() == 0 == bpe.encode_decode(table(spark, [])).count()
     full = bpe.encode_decode(table(spark, ODD[-1:]), outputs=True).first()
     assert len(full.ids) == full.n_tokens and "</w>" in full.decoded
 
@@ -560,3 +561,21 @@ def test_pipeline(spark, sf, docs):
     out = p.run(spark, sf).collect()
     assert {r.doc_id for r in out} == clean and len(out) == len(clean) < len(kept) < len(good) < len(rows)
     assert [len(s) for s in p.STAGES] == [2] * 4
+
+
+@pytest.mark.parametrize(("rows", "want"), [(ODD, [1, 2, 4, 5, 7, 7, 8, None]), ([], [])])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows, want):
+    import corpus_pipeline as p
+
+    folder = str(tmp_path)
+    table(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, "t"), (None, 0, "t"), (4, None, "t")], "doc_id long, quality int, text string").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "short one", 0.5), (2, None, 0.5), (None, "", 0.5)], "item_id long, text string, score double").write.parquet(f"{folder}/benchmark.parquet")
+    got = [r.doc_id for r in p.run(spark, folder).collect()]
+    assert sorted(got, key=lambda i: (i is None, i)) == want
+
+
+def test_long_message(spark):
+    text = "many words in </s> one message " * 100_000
+    row = chat.digests(chat.format_chats(spark.createDataFrame([(1, 0, 0, "message", "assistant", text)], "conv_id long, seq long, message long, kind string, role string, text string"))).first()
+    assert row.loss_chars == len(text) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
